@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +11,27 @@ from .sampling import shuffled
 
 
 def connected_groups(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(v, og): least vertex of each connected group of genes, by passing labels along edges and jumping to the label's own label."""
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().distinct()
-    both = store(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = store(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("og")), "labels")
+    """(v, og): least vertex of each connected group of genes, by alternating large-star and small-star steps on the edges.
+
+    A step links every vertex's neighbours to the least of them; it keeps groups as they are and ends in stars. Rounds grow with the
+    logarithm of the size, not with the length of paths. Pairs with a null link nothing."""
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
+    lone = e.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    e = store(e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).alias("x")
+    last = None
     for _ in range(rounds):
-        near = both.join(label.select(F.col("v").alias("a"), "og"), "a").select(F.col("b").alias("v"), "og")
-        low = label.unionByName(near).groupBy("v").agg(F.min("og").alias("og"))
-        jump = low.join(label.select(F.col("v").alias("og"), F.col("og").alias("__up")), "og").select("v", F.least("og", "__up").alias("new"))
-        new = store(jump.select("v", F.col("new").alias("og")), "labels")
-        if new.join(label.withColumnRenamed("og", "old"), "v").filter("og <> old").isEmpty():
-            return new
-        label = new
-    raise RuntimeError("groups did not settle; their paths are too long for this operator")
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        e = store(small.filter("a <> b").distinct(), "stars")
+        now = e.agg(mark).first()["x"]
+        if now == last:
+            return lone.join(e.select(F.col("a").alias("v"), "b"), "v", "left").select("v", F.coalesce("b", "v").alias("og"))
+        last = now
+    raise RuntimeError("groups did not settle")
 
 
 def groups_from_matches(matches: DataFrame) -> DataFrame:
@@ -109,15 +118,62 @@ def annotate(og: DataFrame, notes: DataFrame) -> DataFrame:
 def to_matrix(og: DataFrame, genomes: list[str]) -> DataFrame:
     """Wide form: a row for each group, a column for each genome, genes joined by commas, ``-`` for none."""
     g = og.groupBy("og").pivot("genome", genomes).agg(F.array_join(F.sort_array(F.collect_list("gene")), ","))
-    return g.fillna("-", genomes)
+    return g.select("og", *[F.coalesce(F.nullif(F.col(f"`{c}`"), F.lit("")), F.lit("-")).alias(c) for c in genomes])
+
+
+def _mcl(a: np.ndarray, b: np.ndarray, w: np.ndarray, inflation: float, prune: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and clusters of one small connected graph, by dense matrices."""
+    v, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    m = np.zeros((len(v), len(v)))
+    np.maximum.at(m, (i, j), w)
+    m = np.maximum(m, m.T)
+    np.fill_diagonal(m, m.max(axis=0))
+    m /= m.sum(axis=0)
+    for _ in range(rounds):
+        new = (m @ m) ** inflation
+        new /= new.sum(axis=0)
+        new[new < prune] = 0
+        new /= new.sum(axis=0)
+        off = np.abs(new - m).max()
+        m = new
+        if off < tolerance:
+            break
+    strong = (m > 0.01) | (m > 0.01).T
+    label = np.arange(len(v))
+    while True:
+        low = np.minimum(label, np.where(strong, label[None, :], len(v)).min(axis=1))
+        if (low == label).all():
+            return v, v[label]
+        label = low
 
 
-def markov_clusters(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", inflation: float = 1.5, prune: float = 1e-3, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
+def markov_clusters(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", inflation: float = 1.5, prune: float = 1e-3, rounds: int = 60, tolerance: float = 1e-4, dense: int = 1000) -> DataFrame:
     """(v, cluster): Markov clustering of a weighted graph: the column-stochastic matrix is squared, its entries raised to ``inflation``,
     brought back to column sums of 1 and pruned under ``prune`` until it settles; a cluster is named after its least member.
 
-    The matrix is a sparse table (i, j, m); squaring is one join and one sum. Pruning bounds a column to 1/prune entries."""
-    e = edges.select(F.col(a).alias("i"), F.col(b).alias("j"), F.col(weight).cast("double").alias("m")).dropna()
+    Connected parts don't affect each other: those of at most ``dense`` vertices are clustered side by side, a task each, by dense matrices;
+    larger ones together as a sparse table (i, j, m), squared by one join and one sum, where pruning bounds a column to 1/prune entries."""
+    e = edges.select(F.col(a).cast("string").alias("i"), F.col(b).cast("string").alias("j"), F.col(weight).cast("double").alias("m")).dropna()
+    e = store(e.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("m").alias("m")), "mcl-edges")
+    part = connected_groups(e, "i", "j").withColumnRenamed("og", "part")
+    sizes = part.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    placed = store(e.join(part.join(sizes, "part"), F.col("i") == F.col("v")).select("part", "size", "i", "j", "m"), "mcl-parts")
+
+    def small(pdf):
+        import pandas as pd
+
+        v, c = _mcl(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["m"].to_numpy(), inflation, prune, rounds, tolerance)
+        return pd.DataFrame({"v": v, "cluster": c})
+
+    done = placed.filter(F.col("size") <= dense).select("part", "i", "j", "m").groupBy("part").applyInPandas(small, "v string, cluster string")
+    large = placed.filter(F.col("size") > dense).select("i", "j", "m")
+    if large.isEmpty():
+        return done
+    return done.unionByName(_sparse_clusters(large, inflation, prune, rounds, tolerance))
+
+
+def _sparse_clusters(e: DataFrame, inflation: float, prune: float, rounds: int, tolerance: float) -> DataFrame:
     m = e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "m")).groupBy("i", "j").agg(F.max("m").alias("m"))
     loops = m.groupBy("j").agg(F.max("m").alias("m")).select(F.col("j").alias("i"), "j", "m")
     m = m.filter("i <> j").unionByName(loops)
@@ -136,8 +192,7 @@ def markov_clusters(edges: DataFrame, a: str = "a", b: str = "b", weight: str =
         m = new
         if off < tolerance:
             break
-    strong = m.filter("m > 0.01").select(F.col("i").alias("a"), F.col("j").alias("b"))
-    return connected_groups(strong).withColumnRenamed("og", "cluster")
+    return connected_groups(m.filter("m > 0.01").select(F.col("i").alias("a"), F.col("j").alias("b"))).withColumnRenamed("og", "cluster")
 
 
 def edge_weights(hits: DataFrame, by: str = "bitscore") -> Column:

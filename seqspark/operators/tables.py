@@ -100,12 +100,12 @@ def preference_scores(presence: DataFrame, inside: DataFrame, row: str = "row",
     marked = p.join(s, "c", "left").withColumn("ins", F.coalesce("ins", F.lit(0)))
     rows = marked.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("ins").alias("i"))
     cols = marked.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.max("ins").alias("ins"))
-    u, k = rows.agg(F.count(F.lit(1)).alias("U"), F.sum("n").alias("X")), cols.agg(F.count(F.lit(1)).alias("S"))
-    one = cols.crossJoin(F.broadcast(u)).withColumn("b", (F.col("m") + 1) / (F.col("U") + 2))  # one row of totals
-    side = one.agg(F.sum(F.when(F.col("ins") == 1, F.col("b")).otherwise(-F.col("b"))).alias("D"), F.sum("b").alias("B"))
-    r = rows.crossJoin(F.broadcast(k)).withColumn("a", (F.col("n") + 1) / (F.col("S") + 2))
-    tot = r.agg(F.sum("a").alias("A"))
+    u, k = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_set")), cols.agg(F.count(F.lit(1)).alias("n_cols"))
+    one = cols.crossJoin(F.broadcast(u)).withColumn("b", (F.col("m") + 1) / (F.col("n_rows") + 2))  # one row of totals
+    side = one.agg(F.sum(F.when(F.col("ins") == 1, F.col("b")).otherwise(-F.col("b"))).alias("b_diff"), F.sum("b").alias("b_sum"))
+    r = rows.crossJoin(F.broadcast(k)).withColumn("a", (F.col("n") + 1) / (F.col("n_cols") + 2))
+    tot = r.agg(F.sum("a").alias("a_sum"))
     full = r.crossJoin(F.broadcast(u)).crossJoin(F.broadcast(side)).crossJoin(F.broadcast(tot))
-    full = full.select(F.col("r").alias(row), ((2 * F.col("i") - F.col("n")) / F.col("X")).alias("observed"), (F.col("a") * F.col("D") / (F.col("A") * F.col("B"))).alias("expected"), (1 + 100 / F.col("U")).alias("t"))
+    full = full.select(F.col("r").alias(row), ((2 * F.col("i") - F.col("n")) / F.col("n_set")).alias("observed"), (F.col("a") * F.col("b_diff") / (F.col("a_sum") * F.col("b_sum"))).alias("expected"), (1 + 100 / F.col("n_rows")).alias("t"))
     full = full.withColumn("score", F.col("observed") / F.abs("expected"))
     return full.withColumn("class", F.when(F.col("score") > F.col("t"), 1).when(F.col("score") < -F.col("t"), -1).otherwise(0)).drop("t")

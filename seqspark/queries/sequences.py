@@ -189,5 +189,5 @@ SQL = {
     "fastq_offset": f"WITH {_FQ}, c AS (SELECT ord(unnest(string_split(qual, ''))) AS c FROM fq) SELECT CASE WHEN min(c) < 55 THEN 33 WHEN max(c) > 80 THEN 64 END AS offset FROM c",
     "fastq_recode": f"WITH {_FQ}, c AS (SELECT id, qual, unnest(generate_series(1, 64)) AS i FROM fq) SELECT id, string_agg(chr(least(ord(qual[i]) - 33, 62) + 64), '' ORDER BY i) AS qual FROM c GROUP BY id",
     "fastq_expected_error": f"WITH {_FQ}, c AS (SELECT id, unnest(string_split(qual, '')) AS c FROM fq) SELECT id, sum({_P}) AS mu, sum({_P} * (1 - {_P})) AS var FROM c GROUP BY id",
-    "fastq_observed_error": f"WITH {_FQ}, c AS (SELECT id, unnest(string_split(qual, '')) AS c FROM fq), e AS (SELECT id, sum({_P}) AS mu, sum({_P} * (1 - {_P})) AS var FROM c GROUP BY id), h AS (SELECT DISTINCT 'p' || l_partkey AS q, CAST(l_linenumber AS int) AS m, CAST(floor(l_quantity) AS int) AS qe FROM lineitem) SELECT id, mu, var, m AS subs, qe + 8 - (qe + m - 3 + 1) AS ins, 8 AS del FROM e JOIN h ON q = id".replace("8 AS del", "qe + 8 - qe AS del"),
+    "fastq_observed_error": f"WITH {_FQ}, c AS (SELECT id, unnest(string_split(qual, '')) AS c FROM fq), e AS (SELECT id, sum({_P}) AS mu, sum({_P} * (1 - {_P})) AS var FROM c GROUP BY id), h AS (SELECT DISTINCT 'p' || l_partkey AS q, CAST(l_linenumber AS int) AS m, CAST(floor(l_quantity) AS int) AS qe FROM lineitem) SELECT id, mu, var, m AS subs, qe + 8 - (abs(qe + m - 3) + 1) AS ins, 8 AS del FROM e JOIN h ON q = id".replace("8 AS del", "qe + 8 - qe AS del"),
 }
