@@ -80,9 +80,9 @@ def parse_rows(df: DataFrame, line: str = "line", fields: list[Field] | None = N
     digits, are null in ``row``. Other columns of ``df`` pass through; one named ``reason`` or ``row`` is replaced.
     """
     fields = fields or HIT_FIELDS
+    # the rows' own columns travel in one struct, where no name can clash with those made here
     names = [c for c in df.columns if c.lower() not in ("reason", "row")]
-    text = F.regexp_replace(F.col(f"`{line}`"), "\r\\z", "")
-    data = df.select(*[F.col(f"`{c}`") for c in names], text.alias("__text"))
+    data = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__in"), F.regexp_replace(F.col(f"`{line}`"), "\r\\z", "").alias("__text"))
     data = data.filter(F.col("__text").isNotNull() & ~F.col("__text").startswith("#") & F.col("__text").rlike(r"(?U)\S"))
     fine, n, parts = _structure(F.col("__text"))
     data = data.withColumn("__why", F.when(~fine, QUOTING).when(n != len(fields), COLUMNS)).withColumn("__parts", F.when(F.col("__why").isNull(), parts))
@@ -104,7 +104,7 @@ def parse_rows(df: DataFrame, line: str = "line", fields: list[Field] | None = N
         data = data.join(one, f"__v_{f.name}", "left")
     reason = F.coalesce("__why", *[f"__w_{f.name}" for f in checked])
     typed = F.struct(*[(cell[f.name] if f.type == "string" else cell[f.name].try_cast(f.type)).alias(f.name) for f in fields])
-    return data.select(*[F.col(f"`{c}`") for c in names], reason.alias("reason"), F.when(reason.isNull(), typed).alias("row"))
+    return data.select("__in.*", reason.alias("reason"), F.when(reason.isNull(), typed).alias("row"))
 
 
 def failed(parsed: DataFrame) -> DataFrame:
@@ -113,5 +113,6 @@ def failed(parsed: DataFrame) -> DataFrame:
 
 
 def loaded(parsed: DataFrame) -> DataFrame:
-    """The good rows of :func:`parse_rows` as typed columns."""
-    return parsed.filter(F.col("reason").isNull()).select(*[F.col(f"`{c}`") for c in parsed.columns if c not in ("reason", "row")], "row.*")
+    """The good rows of :func:`parse_rows` as typed columns; a column of the rows' own that is named like a field gives way to it."""
+    taken = {f.lower() for f in parsed.schema["row"].dataType.names} | {"reason", "row"}
+    return parsed.filter(F.col("reason").isNull()).select(*[F.col(f"`{c}`") for c in parsed.columns if c.lower() not in taken], "row.*")

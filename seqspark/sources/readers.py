@@ -27,7 +27,7 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     t = _lines(spark, path, "\n>").withColumn("value", F.regexp_replace("value", r"\A(?:\s*;[^\n]*\n|\s*\n)*>", ""))
     parts = F.split(F.regexp_replace("value", r"\r", ""), "\n", 2)
     body = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), r"(?m)^;.*$", "")
-    t = t.filter(F.trim("value") != "").select("rid", F.trim(parts[0]).alias("defline"), F.regexp_replace(body, r"[\s>]+", "").alias("seq"))
+    t = t.filter((F.trim("value") != "") & ~F.col("value").rlike(r"\A(?:\s*;[^\n]*\n?)+\z")).select("rid", F.trim(parts[0]).alias("defline"), F.regexp_replace(body, r"[\s>]+", "").alias("seq"))
     return t.select("rid", F.regexp_extract("defline", r"^(\S*)", 1).alias("id"), "defline", "seq")
 
 
@@ -198,7 +198,7 @@ def read_cog(spark: SparkSession, path: str) -> DataFrame:
     """(gene, cog, category, description) of a list of groups: ``[CATS] COGnnnn text`` heads blocks of indented gene lists."""
     blocks = _lines(spark, path, "\n___").select(F.regexp_replace("value", "^_+", "").alias("v"))
     head = lambda i: F.regexp_extract("v", r"\[([A-Z]+)\]\s+(COG\d+)\s*([^\n]*)", i)
-    b = blocks.filter(head(2) != "").select(head(2).alias("cog"), head(1).alias("category"), head(3).alias("description"), F.regexp_extract_all("v", F.lit(r"(?m)^\s+(?:\S+:)?\s*(.*)$"), F.lit(1)).alias("l"))
+    b = blocks.filter(head(2) != "").select(head(2).alias("cog"), head(1).alias("category"), head(3).alias("description"), F.regexp_extract_all("v", F.lit(r"(?m)^[ \t]+(?:\S+:)?[ \t]*(.*)$"), F.lit(1)).alias("l"))
     return b.select(F.explode(F.split(F.trim(F.array_join("l", " ")), r"\s+")).alias("gene"), "cog", "category", "description").filter("gene <> ''")
 
 
@@ -308,7 +308,9 @@ def add_genbank_fields(spark: SparkSession, path: str, annotations: DataFrame, k
     """(rid, sub, value): lines of a GenBank file, with lines ``/field="v"`` after each ``/tag="id"`` that has annotations (one column for
     each field; several values split at ``separator``), to be written in the order of rid and sub."""
     t = _lines(spark, path).withColumn("__id", F.regexp_extract("value", rf'^\s*/{tag}="([^"]+)"', 1))
-    fields = [c for c in annotations.columns if c != key]
-    a = annotations.select(F.col(key).alias("__id"), F.explode(F.flatten(F.array(*[F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda v, c=c: F.concat(F.lit(f'                     /{c}="'), v, F.lit('"'))) for c in fields]))).alias("extra")).filter(~F.col("extra").rlike('=""$'))
+    def added(c: str) -> Column:
+        return F.transform(F.split(F.coalesce(c, F.lit("")), separator), lambda v: F.concat(F.lit(f'                     /{c}="'), v, F.lit('"')))
+
+    a = annotations.select(F.col(key).alias("__id"), F.explode(F.flatten(F.array(*[added(c) for c in annotations.columns if c != key]))).alias("extra")).filter(~F.col("extra").rlike('=""$'))
     more = t.filter("__id <> ''").join(a, "__id").select("rid", F.lit(1).alias("sub"), F.col("extra").alias("value"))
     return t.select("rid", F.lit(0).alias("sub"), "value").unionByName(more)
