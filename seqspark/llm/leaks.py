@@ -33,7 +33,7 @@ class Pieces:
         words = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in _WORD.findall((t or "").lower())], np.int32) for _, t in items]
         self.first = np.cumsum([0, *map(len, words)])
         self.words = np.concatenate([*words, np.zeros(1, np.int32)])
-        self.item = np.repeat(np.arange(len(items), dtype=np.int32), [len(w) for w in words])
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), np.array([len(w) for w in words], np.int64))
         self.place = np.arange(len(self.item), dtype=np.int64)
         self.end = self.first[1:][self.item] if len(items) else self.place
         at = self.place[self.place + self.size <= self.end]

@@ -118,10 +118,10 @@ class Terms:
             order = np.argsort(-best[:, s], kind="stable")
             score, hit = best[order, s], truth[order, s]
             f1 = 2 * np.cumsum(hit) / (np.arange(1, len(hit) + 1) + max(1, hit.sum())) if len(hit) else np.zeros(0)
-            f1[np.r_[score[:-1] == score[1:], False]] = 0
-            if not len(f1) or not hit.any():
+            if not hit.any():
                 self.threshold[s] = np.inf
                 continue
+            f1[np.r_[score[:-1] == score[1:], False]] = 0
             at = int(np.argmax(f1))
             below = score[at + 1] if at + 1 < len(score) else 0.0
             self.threshold[s] = max(math.sqrt(score[at] * max(below, score[at] / 10)), 1e-9)
