@@ -20,12 +20,15 @@ def _start(v: Column, level: int, beta: float) -> Column:
 
 
 def _grow(edges: DataFrame, level: int, hops: int, beta: float) -> DataFrame:
-    """(v, center) for every vertex of ``edges`` (a, b: both directions): the vertex whose shifted time reaches v first."""
-    label = edges.select(F.col("a").alias("v")).distinct()
-    label = label.select("v", _start(F.col("v"), level, beta).alias("t"), F.col("v").alias("center"))
+    """(v, center) for every vertex of ``edges`` (a, b: both directions): the vertex whose shifted time reaches v first.
+
+    Every vertex has an edge of length 0 to itself, so that a hop is one join and one sum with map-side combination, and plans stay short."""
+    vertices = edges.select(F.col("a").alias("v")).distinct()
+    steps = edges.select("a", "b", F.lit(1.0).alias("far")).unionByName(vertices.select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(0.0).alias("far")))
+    label = vertices.select("v", _start(F.col("v"), level, beta).alias("t"), F.col("v").alias("center"))
     for _ in range(hops):
-        reach = edges.join(label, edges["a"] == label["v"]).select(F.col("b").alias("v"), (F.col("t") + 1).alias("t"), "center")
-        label = label.unionByName(reach).groupBy("v").agg(F.min_by("center", "t").alias("center"), F.min("t").alias("t")).select("v", "t", "center")
+        reach = steps.join(label, steps["a"] == label["v"]).select(F.col("b").alias("v"), (F.col("t") + F.col("far")).alias("t"), "center")
+        label = reach.groupBy("v").agg(F.min_by("center", "t").alias("center"), F.min("t").alias("t")).select("v", "t", "center")
     return label.select("v", "center")
 
 
