@@ -118,7 +118,8 @@ def identify(root: object, emit) -> bytes:
 @dataclass(frozen=True)
 class MerkleTables:
     """``roots`` (id, kind, node_id, value, error): one row per record. ``nodes`` (node_id, kind, children): each distinct object or array
-    once. ``edges`` (parent_id, ordinal, name, kind, child_id, value): what each node holds, in order; scalars stand in ``value``."""
+    once. ``edges`` (parent_id, ordinal, name, kind, child_id, value), the bridge: what each node holds, in order; scalars stand in
+    ``value``. A node's edges are kept in its row, so reading them needs no shuffle."""
 
     roots: DataFrame
     nodes: DataFrame
@@ -134,7 +135,8 @@ def merkle_tables(df: DataFrame, record: str, document: str) -> MerkleTables:
     Repeated records have a row each. Of a key that occurs twice in one object the last value counts. Other columns are ignored.
     """
     kind = df.schema[record].dataType
-    raw = T.StructType([T.StructField("t", T.StringType()), T.StructField("rec", kind), T.StructField("id", T.BinaryType()), T.StructField("ordinal", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("child", T.BinaryType()), T.StructField("value", T.StringType())])
+    edge = T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("child_id", T.BinaryType()), T.StructField("value", T.StringType())])
+    raw = T.StructType([T.StructField("t", T.StringType()), T.StructField("rec", kind), T.StructField("id", T.BinaryType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("children", T.ArrayType(edge))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -146,8 +148,7 @@ def merkle_tables(df: DataFrame, record: str, document: str) -> MerkleTables:
         def emit(d: bytes, v: object, children: list) -> None:
             if d not in seen:
                 seen.add(d)
-                rows.append(("n", None, d, len(children), None, "object" if isinstance(v, dict) else "array", None, None))
-                rows.extend(("e", None, d, i, None if k is None else _clean(k), t, c, s) for i, (k, t, c, s) in enumerate(children))
+                rows.append(("n", None, d, "object" if isinstance(v, dict) else "array", None, [{"name": None if k is None else _clean(k), "kind": t, "child_id": c, "value": s} for k, t, c, s in children]))
 
         def flush() -> Iterator[pa.RecordBatch]:
             if rows:
@@ -169,28 +170,29 @@ def merkle_tables(df: DataFrame, record: str, document: str) -> MerkleTables:
                     error = "invalid"
                 if error or (s := scalar(v)) is not None:
                     k, val = (None, error) if error else s
-                    rows.append(("x" if error else "r", rec, None, None, None, k, None, val))
+                    rows.append(("x" if error else "r", rec, None, k, val, None))
                 else:
-                    rows.append(("r", rec, None, None, None, "object" if isinstance(v, dict) else "array", identify(v, emit), None))
+                    rows.append(("r", rec, identify(v, emit), "object" if isinstance(v, dict) else "array", None, None))
                 if len(seen) > SEEN:
                     seen.clear()
-                if len(rows) > 20_000:
+                if len(rows) > 10_000:
                     yield from flush()
             yield from flush()
 
     made = store(df.select(F.col(f"`{record}`").alias("rec"), F.col(f"`{document}`").cast("string").alias("doc")).mapInArrow(build, raw), "merkle")
     bad = F.col("t") == "x"
-    roots = made.filter(F.col("t").isin("r", "x")).select(F.col("rec").alias(record), "kind", F.col("child").alias("node_id"), F.when(~bad, F.col("value")).alias("value"), F.when(bad, F.col("value")).alias("error"))
-    nodes = made.filter("t = 'n'").select(F.col("id").alias("node_id"), "kind", F.col("ordinal").alias("children")).distinct()
-    edges = made.filter("t = 'e'").select(F.col("id").alias("parent_id"), "ordinal", "name", "kind", F.col("child").alias("child_id"), "value").distinct()
-    return MerkleTables(roots, nodes, store(edges, "edges"))
+    roots = made.filter(F.col("t").isin("r", "x")).select(F.col("rec").alias(record), "kind", F.col("id").alias("node_id"), F.when(~bad, F.col("value")).alias("value"), F.when(bad, F.col("value")).alias("error"))
+    once = store(made.filter("t = 'n'").groupBy(F.col("id").alias("node_id")).agg(F.first("kind").alias("kind"), F.first("children").alias("held")), "nodes")
+    nodes = once.select("node_id", "kind", F.size("held").alias("children"))
+    edges = once.select(F.col("node_id").alias("parent_id"), F.posexplode("held").alias("ordinal", "x")).select("parent_id", "ordinal", "x.name", "x.kind", "x.child_id", "x.value")
+    return MerkleTables(roots, nodes, edges)
 
 
 def _members(parents: DataFrame, edges: DataFrame, keep: list[str]) -> DataFrame:
     """Elements of the values (kind, child_id, value) in ``parents``: those of an array, else the value itself at position 0."""
     cols = [F.col(c) for c in keep]
     alone = parents.filter("kind <> 'array'").select(*cols, F.lit(0).alias("pos"), "kind", "child_id", "value")
-    inner = edges.select(F.col("parent_id").alias("child_id"), F.col("ordinal").alias("pos"), F.col("kind").alias("k"), F.col("child_id").alias("c"), F.col("value").alias("v"))
+    inner = edges.filter("name is null").select(F.col("parent_id").alias("child_id"), F.col("ordinal").alias("pos"), F.col("kind").alias("k"), F.col("child_id").alias("c"), F.col("value").alias("v"))
     many = parents.filter("kind = 'array'").select(*cols, "child_id").join(inner, "child_id").select(*cols, "pos", F.col("k").alias("kind"), F.col("c").alias("child_id"), F.col("v").alias("value"))
     return alone.unionByName(many)
 
