@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import merge_intervals
+
 
 def depth_runs(spans: DataFrame, key: str = "contig", start: str = "start", end: str = "end") -> DataFrame:
     """(key, start, end, depth): runs of equal depth of half-open spans, found from the changes at their ends, never base by base.
 
-    Changes at one position are added up before the running sum, so its window holds a row per distinct position at most.
+    Changes at one position are added up first. The running sum goes in two levels: over the sums of blocks of positions, then within each
+    block, so that no task holds more of a long or hot sequence than one block. Spans with a null or without length do not count.
     """
     good = spans.filter(F.col(key).isNotNull() & F.col(start).isNotNull() & (F.col(end) > F.col(start)))
     change = good.select(key, F.explode(F.array(F.struct(F.col(start).cast("long").alias("p"), F.lit(1).alias("d")), F.struct(F.col(end).cast("long").alias("p"), F.lit(-1).alias("d")))).alias("x"))
-    at = change.groupBy(key, F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d"))
-    w = Window.partitionBy(key).orderBy("p")
-    run = at.select(key, F.col("p").alias("start"), F.lead("p").over(w).alias("end"), F.sum("d").over(w).alias("depth"))
+    at = change.groupBy(key, F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d")).withColumn("b", F.shiftright("p", 16))
+    over = Window.partitionBy(key).orderBy("b")
+    blocks = at.groupBy(key, "b").agg(F.sum("d").alias("s"), F.min("p").alias("f"))
+    blocks = blocks.select(key, "b", (F.sum("s").over(over) - F.col("s")).alias("before"), F.lead("f").over(over).alias("next"))
+    w = Window.partitionBy(key, "b").orderBy("p")
+    inner = at.select(key, "b", "p", F.lead("p").over(w).alias("e"), F.sum("d").over(w).alias("d"))
+    run = inner.join(blocks, [key, "b"]).select(key, F.col("p").alias("start"), F.coalesce("e", "next").alias("end"), (F.col("before") + F.col("d")).alias("depth"))
     return run.filter(F.col("end").isNotNull())
 
 
@@ -108,11 +115,9 @@ def sequence_limits(offsets: DataFrame) -> DataFrame:
 
 
 def feature_gaps(features: DataFrame, seqid: str = "seqid", start: str = "start", end: str = "end") -> DataFrame:
-    """(seqid, start, end, kind): features in order and the GAPs between them, each from one past what the features before reach."""
-    w = Window.partitionBy(seqid).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    f = features.withColumn("__top", F.max(end).over(w))
-    gap = f.filter(F.col(start) > F.col("__top") + 1).select(seqid, (F.col("__top") + 1).alias("start"), (F.col(start) - 1).alias("end"), F.lit("GAP").alias("kind"))
-    return gap.unionByName(features.select(seqid, F.col(start).alias("start"), F.col(end).alias("end"), F.lit("FEAT").alias("kind")))
+    """(seqid, start, end, kind): features (FEAT) and the GAPs between them, each from one past what the features before reach."""
+    gaps = merge_intervals(features, seqid, start, end).filter("stretch = 'gap'").select(seqid, F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.lit("GAP").alias("kind"))
+    return gaps.unionByName(features.select(seqid, F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.lit("FEAT").alias("kind")))
 
 
 def left_open_bin(x: Column, low: float, width: float) -> Column:
