@@ -119,7 +119,7 @@ def identify(root: object, emit) -> bytes:
 class MerkleTables:
     """``roots`` (id, kind, node_id, value, error): one row per record. ``nodes`` (node_id, kind, children): each distinct object or array
     once. ``edges`` (parent_id, ordinal, name, kind, child_id, value), the bridge: what each node holds, in order; scalars stand in
-    ``value``. A node's edges are kept in its row, so reading them needs no shuffle."""
+    ``value``."""
 
     roots: DataFrame
     nodes: DataFrame
@@ -182,9 +182,10 @@ def merkle_tables(df: DataFrame, record: str, document: str) -> MerkleTables:
     made = store(df.select(F.col(f"`{record}`").alias("rec"), F.col(f"`{document}`").cast("string").alias("doc")).mapInArrow(build, raw), "merkle")
     bad = F.col("t") == "x"
     roots = made.filter(F.col("t").isin("r", "x")).select(F.col("rec").alias(record), "kind", F.col("id").alias("node_id"), F.when(~bad, F.col("value")).alias("value"), F.when(bad, F.col("value")).alias("error"))
-    once = store(made.filter("t = 'n'").groupBy(F.col("id").alias("node_id")).agg(F.first("kind").alias("kind"), F.first("children").alias("held")), "nodes")
-    nodes = once.select("node_id", "kind", F.size("held").alias("children"))
-    edges = once.select(F.col("node_id").alias("parent_id"), F.posexplode("held").alias("ordinal", "x")).select("parent_id", "ordinal", "x.name", "x.kind", "x.child_id", "x.value")
+    held = made.filter("t = 'n'")
+    nodes = held.select(F.col("id").alias("node_id"), "kind", F.size("children").alias("children")).distinct()
+    once = held.groupBy("id").agg(F.first("children").alias("children"))  # one row a node crosses the network, with all it holds
+    edges = store(once.select(F.col("id").alias("parent_id"), F.posexplode("children").alias("ordinal", "x")).select("parent_id", "ordinal", "x.name", "x.kind", "x.child_id", "x.value"), "edges")
     return MerkleTables(roots, nodes, edges)
 
 
