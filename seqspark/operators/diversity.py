@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -124,10 +124,17 @@ def variant_summary(v: DataFrame) -> DataFrame:
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
-def translate(codon) -> object:
-    """Amino acid of a codon column; null if it holds other letters."""
-    at = lambda i: F.position(F.substring(codon, i, 1), F.lit("TCAG")) - 1
-    return F.when(codon.rlike("^[TCAG]{3}$"), F.substr(F.lit(CODE), at(1) * 16 + at(2) * 4 + at(3) + 1, F.lit(1)))
+def _codons() -> dict[str, str]:
+    """Amino acid of each codon."""
+    bases = "TCAG"
+    return {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate(bases) for j, b in enumerate(bases) for k, c in enumerate(bases)}
+
+
+def codon_changes(spark: SparkSession) -> DataFrame:
+    """(codon, i, b, same): the 576 changes of one base of a codon, and whether the amino acid stays the same (1) or not (0)."""
+    aa = _codons()
+    rows = [(c, i, b, float(aa[c[:i] + b + c[i + 1 :]] == aa[c])) for c in aa for i in range(3) for b in "TCAG" if c[i] != b]
+    return spark.createDataFrame(rows, "codon string, i int, b string, same double")
 
 
 def kaks(genes: DataFrame, snps: DataFrame, fixed: float | None = None, compat: bool = False) -> DataFrame:
@@ -135,19 +142,18 @@ def kaks(genes: DataFrame, snps: DataFrame, fixed: float | None = None, compat:
 
     ka=(n+1)/(N+2), ks=(s+1)/(S+2). ``fixed`` is the share of synonymous sites to take instead of counting them (the other way round with
     ``compat``). Only positions of whole codons count; codons with other letters than ACGT have no sites."""
-    codons = genes.select("gene", F.upper("seq").alias("seq")).select("gene", F.length("seq").alias("len"), F.posexplode(F.filter(F.split(F.regexp_replace("seq", "(...)", "$1 "), " "), lambda x: F.length(x) == 3)))
-    codons = codons.select("gene", "len", F.col("pos").alias("k"), F.col("col").alias("codon")).withColumn("aa", translate(F.col("codon"))).filter(F.col("aa").isNotNull())
-    alts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b).alias("b")) for i in range(3) for b in "TCAG"]))
-    change = codons.select("*", alts.alias("x")).select("*", "x.i", "x.b").filter(F.col("codon").substr(F.col("i") + 1, F.lit(1)) != F.col("b"))
-    change = change.withColumn("to", translate(F.concat(F.expr("substring(codon, 1, i)"), "b", F.expr("substring(codon, i + 2, 3)"))))
-    same = (F.col("to") == F.col("aa")).cast("double")
-    sites = change.groupBy("gene").agg((F.sum(same) / 3).alias("s_sites"), (F.sum(1 - same) / 3).alias("n_sites"))
+    spark = genes.sparkSession
+    change = F.broadcast(codon_changes(spark))  # 576 rows
+    per = F.broadcast(codon_changes(spark).groupBy("codon").agg((F.sum("same") / 3).alias("ss"), (F.sum(1 - F.col("same")) / 3).alias("ns")))
+    codons = genes.select("gene", F.posexplode(F.filter(F.split(F.regexp_replace(F.upper("seq"), "(...)", "$1 "), " "), lambda x: F.length(x) == 3)).alias("k", "codon"))
+    sized = codons.join(per, "codon")
+    sites = sized.groupBy("gene").agg(F.sum("ss").alias("s_sites"), F.sum("ns").alias("n_sites"), (F.count(F.lit(1)) * 3).alias("b"))
     if fixed is not None:
         f = 1 - fixed if compat else fixed
-        size = codons.groupBy("gene").agg((F.count(F.lit(1)) * 3).alias("b"))
-        sites = size.select("gene", (F.col("b") * f).alias("s_sites"), (F.col("b") * (1 - f)).alias("n_sites"))
+        sites = sites.withColumn("s_sites", F.col("b") * f).withColumn("n_sites", F.col("b") * (1 - f))
     hit = snps.select("gene", F.floor(F.col("pos") / 3).cast("int").alias("k"), (F.col("pos") % 3).cast("int").alias("i"), F.upper("alt").alias("b"))
-    sub = hit.join(change.select("gene", "k", "i", "b", same.alias("same")), ["gene", "k", "i", "b"]).groupBy("gene").agg(F.sum("same").alias("s"), F.sum(1 - F.col("same")).alias("n"))
+    sub = hit.join(codons, ["gene", "k"]).join(change, ["codon", "i", "b"]).groupBy("gene").agg(F.sum("same").alias("s"), F.sum(1 - F.col("same")).alias("n"))
+    sites = sites.drop("b")
     out = sites.join(sub, "gene", "left").fillna(0, ["s", "n"])
     out = out.withColumn("ka", (F.col("n") + 1) / (F.col("n_sites") + 2)).withColumn("ks", (F.col("s") + 1) / (F.col("s_sites") + 2))
     return out.withColumn("ratio", F.col("ka") / F.col("ks")).select("gene", "n", "s", "n_sites", "s_sites", "ka", "ks", "ratio")

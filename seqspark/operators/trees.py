@@ -122,23 +122,41 @@ def collapse_counts(counts: DataFrame, tree: DataFrame, nodes: list[int]) -> Dat
     return counts.join(first.withColumnRenamed("edge", "edge_num"), "edge_num", "left").groupBy(F.coalesce("__to", "edge_num").alias("edge_num"), "dataset").agg(F.sum("n").alias("n"))
 
 
-def classify(characters: DataFrame, key: DataFrame, first: str = "1", most: int = 64) -> DataFrame:
+def classify(characters: DataFrame, key: DataFrame, first: str = "1", most_branches: int = 10_000) -> DataFrame:
     """(object, class): objects (object, character, state) led through a dichotomous key (step, character, state, next, terminal); ``*``
-    matches any state. An object that no branch fits has a null class; a key deeper than ``most`` steps raises RuntimeError."""
-    k = key.select("step", F.col("character").alias("__c"), F.col("state").alias("__s"), "next", "terminal")
-    at = characters.select("object").distinct().withColumn("step", F.lit(first))
-    done = None
-    for _ in range(most):
-        look = at.join(F.broadcast(k), "step", "left") if k.count() < 10_000 else at.join(k, "step", "left")
-        fit = look.join(characters.withColumnRenamed("character", "__c"), ["object", "__c"], "left").filter((F.col("__s") == "*") | (F.col("state") == F.col("__s")))
-        one = fit.groupBy("object").agg(F.min_by(F.struct("next", "terminal"), F.when(F.col("__s") == "*", 1).otherwise(0)).alias("x"))
-        went = store(at.select("object").join(one, "object", "left").select("object", "x.next", "x.terminal"), "key")
-        ended = went.filter("terminal is null or terminal").select("object", F.when(F.col("terminal"), F.col("next")).alias("class"))
-        done = ended if done is None else done.unionByName(ended)
-        at = went.filter("not terminal").select("object", F.col("next").alias("step"))
-        if at.isEmpty():
-            return done
-    raise RuntimeError("the key is deeper than allowed, or runs in a circle")
+    matches any state, after the named ones. An object that no branch fits has a null class; so has one with a null state where asked.
+
+    The key, a document of at most ``most_branches`` rows, is read by the driver, which finds its depth; one that runs in a circle raises
+    ValueError. An object's characters are put together once; each level of the key is then a look-up without a shuffle."""
+    rows = key.select("step", "character", "state", "next", "terminal").limit(most_branches + 1).collect()
+    if len(rows) > most_branches:
+        raise ValueError("a key of more branches than allowed")
+    depth: dict[str, int] = {}
+    todo: list[tuple[str, tuple[str, ...]]] = [(first, ())]
+    while todo:
+        step, above = todo.pop()
+        if step in above:
+            raise ValueError(f"the key runs in a circle at step {step}")
+        if depth.get(step, -1) < len(above):
+            depth[step] = len(above)
+            todo += [(r["next"], (*above, step)) for r in rows if r["step"] == step and not r["terminal"]]
+    spark = characters.sparkSession
+    branches: dict[tuple[str, str], dict[str, tuple[str, bool]]] = {}
+    for r in rows:
+        if any(s == r["step"] and c != r["character"] for s, c in branches):
+            raise ValueError(f"step {r['step']} asks for two characters")
+        branches.setdefault((r["step"], r["character"]), {}).setdefault(r["state"], (r["next"], bool(r["terminal"])))
+    flat = [(s, c, {k: {"next": n, "end": t} for k, (n, t) in b.items()}) for (s, c), b in branches.items()]
+    table = F.broadcast(spark.createDataFrame(flat, "step string, c string, go map<string, struct<next: string, end: boolean>>"))
+    one = characters.groupBy("object", "character").agg(F.min("state").alias("state"))
+    at = one.groupBy("object").agg(F.map_from_entries(F.collect_list(F.struct("character", "state"))).alias("has"))  # as long as there are characters
+    at = at.withColumn("step", F.lit(first)).withColumn("class", F.lit(None).cast("string"))
+    for _ in range(max(depth.values(), default=0) + 1):
+        j = at.join(table, "step", "left")
+        state = F.try_element_at("has", F.col("c"))
+        x = F.coalesce(F.try_element_at("go", state), F.when(state.isNotNull(), F.try_element_at("go", F.lit("*"))))
+        at = j.select("object", "has", F.when(~x["end"], x["next"]).alias("step"), F.coalesce("class", F.when(x["end"], x["next"])).alias("class"))
+    return at.select("object", "class")
 
 
 def prune_close_tips(tree: list[tuple], least: float | None = None, quantile: float = 0.25, most_exact: int = 40_000, rounds: int = 100) -> list[str]:
