@@ -33,13 +33,12 @@ def parse(text: str | None) -> list[dict] | None:
     return out if len(reverse) == 1 and out else None
 
 
-@F.pandas_udf(RANGE)
-def _parse(texts: pd.Series) -> pd.Series:
-    return pd.Series([parse(t) for t in texts])
-
-
 def parse_range(c: Column) -> Column:
-    return _parse(c)
+    """The ranges of a location text, parsed in Arrow batches."""
+    def many(texts: pd.Series) -> pd.Series:
+        return pd.Series([parse(t) for t in texts])
+
+    return F.pandas_udf(many, RANGE)(c)
 
 
 def leftmost(r: Column) -> Column:

@@ -180,3 +180,19 @@ def label_islands(df: DataFrame, entity: str, start: str, end: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([ent, pa.array(lo), pa.array(hi), pa.array(np.where(at < 0, begun, lo[np.maximum(at, 0)]))], schema=_arrow(out))
 
     return ordered.mapInArrow(rescan, out)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str, start: str = "start", end: str = "end", width: int = 1000) -> DataFrame:
+    """Pairs of rows of one key whose closed intervals overlap; the right side's other columns come with ``_r`` appended.
+
+    A range join made an equi-join: intervals are spread over bins of ``width``, and a pair counts in the bin of the later of both starts
+    only, so it comes out once. A hot key is split by its bins. Rows with a null key, start or end, or an end before the start, match
+    nothing; repeated rows match as often as they occur."""
+    def binned(df: DataFrame) -> DataFrame:
+        ok = F.col(key).isNotNull() & (F.col(end) >= F.col(start))
+        return df.filter(ok).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+
+    r = binned(right).select(F.col(key), "__bin", *[F.col(f"`{c}`").alias(f"{c}_r") for c in right.columns if c != key])
+    j = binned(left).join(r, [key, "__bin"])
+    both = (F.col(start) <= F.col(f"{end}_r")) & (F.col(f"{start}_r") <= F.col(end))
+    return j.filter(both & (F.floor(F.greatest(F.col(start), F.col(f"{start}_r")) / width) == F.col("__bin"))).drop("__bin")

@@ -126,6 +126,13 @@ def tag(records: DataFrame, prefix: str = "", suffix: str = "", keep_defline: bo
     return out.withColumn("defline", F.concat_ws(" ", "id", "defline") if keep_defline else F.col("id")).drop("number")
 
 
+def tag_from_list(records: DataFrame, names: DataFrame, keep_defline: bool = False) -> DataFrame:
+    """Records with ids from a list (rid, name), both in file order; a record past the list's end has a null id."""
+    n = numbered(names).select("number", "name")
+    out = numbered(records).join(n, "number", "left").withColumn("id", F.col("name"))
+    return out.withColumn("defline", F.concat_ws(" ", "id", "defline") if keep_defline else F.col("id")).drop("number", "name")
+
+
 def split_round_robin(records: DataFrame, n: int = 12, labels: str = "number") -> DataFrame:
     """Records with ``part``: dealt to n parts in turn, labelled by number, zero-padded number or letters."""
     k = ((F.col("number") - 1) % n).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage as C
+from ..operators.intervals import overlap_join
 from . import table
 from .hits import gene_lengths, go, reads
 
@@ -75,6 +76,13 @@ def _cells(spark, d):
     return C.recruitment_plot(catsbj_hits(spark, d), 1000, 70, 0.5)
 
 
+def overlap_counts(spark, d):
+    """Hits that touch each 40-base probe of their gene."""
+    probes = _lengths(spark, d).select("contig", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length"), F.lit(400).cast("long"))).alias("start")).withColumn("end", F.col("start") + 39)
+    j = overlap_join(probes, _spans(spark, d).withColumn("start", F.col("start") + 1), "contig", width=256)
+    return j.groupBy("contig", "start").agg(F.count(F.lit(1)).alias("n"))
+
+
 def recplot_counts(spark, d):
     return _cells(spark, d)
 
@@ -112,7 +120,7 @@ def anir_histogram(spark, d):
     return C.identity_histogram(reads(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (cov_histogram, cov_tad, cov_tad_total, cov_seqdepth, cov_average, cov_zip, catsbj_offsets, catsbj_hits, cov_window, gff_gaps, recplot_counts, recplot_depth, recplot_cutoff, recplot_anir, recplot_compare, recplot_coordinates, recplot_windows, anir, anir_histogram)}
+QUERIES = {f.__name__: f for f in (cov_histogram, cov_tad, cov_tad_total, cov_seqdepth, cov_average, cov_zip, catsbj_offsets, catsbj_hits, cov_window, gff_gaps, overlap_counts, recplot_counts, recplot_depth, recplot_cutoff, recplot_anir, recplot_compare, recplot_coordinates, recplot_windows, anir, anir_histogram)}
 
 _BASE = """
 WITH reads AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM a_mg_reads_cds),
@@ -167,6 +175,7 @@ SELECT win AS "window", sum((least(e, (win + 1) * 1000) - greatest(s, win * 1000
 WITH f AS (SELECT DISTINCT sseqid AS seqid, least(s_start, s_end) AS s, greatest(s_start, s_end) AS e FROM a_mg_reads_cds WHERE sseqid IS NOT NULL AND s_start IS NOT NULL AND s_end IS NOT NULL),
 t AS (SELECT *, max(e) OVER (PARTITION BY seqid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM f)
 SELECT seqid, s AS start, e AS "end", 'FEAT' AS kind FROM f UNION ALL SELECT seqid, top + 1, s - 1, 'GAP' FROM t WHERE s > top + 1""",
+    "overlap_counts": _BASE + ", pr AS (SELECT contig, unnest(generate_series(1, length, 400)) AS start FROM lens) SELECT pr.contig, start, count(*) AS n FROM pr JOIN spans ON spans.contig = pr.contig AND s + 1 <= start + 39 AND start <= e GROUP BY ALL",
     "recplot_counts": _CELLS + f"SELECT pos_bin, id_bin, n, {_MID} > 95 AS in_group FROM cells",
     "recplot_depth": _CELLS + f"SELECT pos_bin, sum(n) / 1000 AS depth FROM cells WHERE {_MID} > 95 GROUP BY 1",
     "recplot_cutoff": _CELLS + f"SELECT pos_bin, sum(n) / 1000 AS depth FROM cells WHERE NOT {_MID} > 98 GROUP BY 1",

@@ -73,6 +73,11 @@ def seq_tag(spark, d):
     return S.tag(_seq(spark, d), "x", "_y").select("rid", "id")
 
 
+def seq_tag_list(spark, d):
+    names = table(spark, d, "customer").select((F.col("c_custkey") * 3).alias("rid"), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("name"))
+    return S.tag_from_list(_seq(spark, d), names).select("rid", "id")
+
+
 def seq_split_rr(spark, d):
     return S.split_round_robin(_seq(spark, d), 12, "padded").select("rid", "part")
 
@@ -154,7 +159,7 @@ def seq_simulate(spark, d):
     return S.simulate_pairs(_dna(spark, d), 2, 20, 50, 5)
 
 
-QUERIES = {f.__name__: f for f in (seq_length, seq_gc, seq_n50, seq_n90, seq_qlen, seq_filter_len, seq_filter_n, seq_revcom, seq_extract, seq_mask, seq_rename, seq_tag, seq_split_rr, seq_interpose, seq_slide, seq_slide_strict, seq_to_fastq, seq_wrap, seq_concatenate, seq_variable_columns, seq_partitions, fastq_mask, fastq_offset, fastq_recode, fastq_expected_error, fastq_observed_error, seq_sample, seq_sample_replace, seq_subsample, seq_fragment, seq_simulate)}
+QUERIES = {f.__name__: f for f in (seq_length, seq_gc, seq_n50, seq_n90, seq_qlen, seq_filter_len, seq_filter_n, seq_revcom, seq_extract, seq_mask, seq_rename, seq_tag, seq_tag_list, seq_split_rr, seq_interpose, seq_slide, seq_slide_strict, seq_to_fastq, seq_wrap, seq_concatenate, seq_variable_columns, seq_partitions, fastq_mask, fastq_offset, fastq_recode, fastq_expected_error, fastq_observed_error, seq_sample, seq_sample_replace, seq_subsample, seq_fragment, seq_simulate)}
 
 _DNA = "dna AS (SELECT p_partkey AS rid, 'p' || p_partkey AS id, translate(md5(CAST(p_partkey AS varchar)) || md5(CAST(p_size AS varchar)), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM part)"
 _FQ = _DNA + ", fq AS (SELECT *, md5(id) || md5(id) AS qual FROM dna)"
@@ -176,6 +181,7 @@ SQL = {
     "seq_mask": f"WITH {_DNA}, m AS (SELECT id, p_partkey % 40 + 1 AS a, p_partkey % 40 + 1 + p_size % 9 AS b, seq FROM dna JOIN part ON p_partkey = rid) SELECT id, regexp_replace(CASE WHEN CAST(id[2:] AS int) % 3 = 0 THEN left(seq, a - 1) || repeat('N', b - a + 1) || seq[b + 1:] ELSE seq END, '^N+|N+$', '', 'g') AS seq FROM m",
     "seq_rename": "SELECT p_partkey AS rid, CASE WHEN p_partkey % 2 = 0 THEN 'new' || p_size ELSE 'p' || p_partkey END AS id FROM part",
     "seq_tag": "SELECT doc_id AS rid, 'x' || row_number() OVER (ORDER BY doc_id) || '_y' AS id FROM documents",
+    "seq_tag_list": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents), c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) SELECT doc_id AS rid, 'n' || c_custkey AS id FROM d LEFT JOIN c USING (k)",
     "seq_split_rr": "SELECT doc_id AS rid, lpad(CAST((row_number() OVER (ORDER BY doc_id) - 1) % 12 + 1 AS varchar), 2, '0') AS part FROM documents",
     "seq_interpose": f"WITH {_DNA} SELECT rid, 0 AS file, id || '/1' AS id, seq FROM dna UNION ALL SELECT rid, 1, id || '/2', reverse(seq) FROM dna",
     "seq_slide": f"WITH {_DNA}, x AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 18, 6)) AS start FROM dna) SELECT id, start, seq[start + 1:start + 18] AS seq FROM x",

@@ -2,6 +2,9 @@
 
 import importlib
 import pkgutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -37,6 +40,12 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
+def test_names_need_no_session():
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-500:]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
