@@ -263,7 +263,7 @@ x AS (
   UNION ALL SELECT 'species', coalesce(s, 'Unknown ' || coalesce(g, p, 'root')), n FROM c)
 SELECT rank, taxon, 1000 * sum(n) / (SELECT sum(n) FROM c) AS n FROM x GROUP BY rank, taxon""",
     "aasubs_ratio": f"WITH {_SUBS} SELECT aa, CASE WHEN count(*) FILTER (g = 'A') > 0 AND count(*) FILTER (g = 'B') > 0 THEN log10(count(*) FILTER (g = 'A') / count(*) FILTER (g = 'B')) END AS ratio FROM s GROUP BY 1",
-    "snp_filter": f"WITH {_VAR} SELECT l_orderkey, l_linenumber, ref_dp, alt_dp, shannon FROM w WHERE dp BETWEEN 4 AND 60 AND ref_dp >= 2 AND alt_dp >= 2 AND qual >= 100 AND shannon >= 0.5 AND NOT indel",
+    "snp_filter": f"WITH {_VAR} SELECT l_orderkey, l_linenumber, CAST(ref_dp AS bigint) AS ref_dp, CAST(alt_dp AS bigint) AS alt_dp, shannon FROM w WHERE dp BETWEEN 4 AND 60 AND ref_dp >= 2 AND alt_dp >= 2 AND qual >= 100 AND shannon >= 0.5 AND NOT indel",
     "snp_summary": f"WITH {_VAR} SELECT count(*) AS n, sum(shannon) AS information, avg(dp) AS dp, avg(ref_dp) AS ref_dp, avg(alt_dp) AS alt_dp FROM w WHERE dp >= 4 AND ref_dp >= 2 AND alt_dp >= 2 AND qual >= 0 AND shannon >= 0 AND NOT indel",
     "kaks": f"""
 WITH g AS (SELECT 'g' || p_partkey AS gene, translate(md5(CAST(p_partkey AS varchar)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM part),
@@ -290,7 +290,7 @@ SELECT w.x AS og, split_part(v.x, '>', 1) AS genome, split_part(v.x, '>', 2) AS
     "og_annotate": f"WITH {_OG} SELECT og, string_agg(t, ' || ' ORDER BY t) AS notes FROM (SELECT DISTINCT og, gene || ': ' || p_brand AS t FROM og JOIN part ON p_partkey = gene AND p_size % 12 = genome) GROUP BY 1",
     "og_extract": f"WITH {_OG} SELECT og, genome, min(gene) AS gene, md5(CAST(min(gene) AS varchar)) AS seq FROM og GROUP BY og, genome",
     "og_matrix": f"WITH {_OG}, c AS (SELECT og, genome, string_agg('x' || gene, ',' ORDER BY 'x' || gene) AS l FROM og GROUP BY ALL) SELECT og, " + ", ".join(f"coalesce(max(l) FILTER (genome = {i}), '-') AS g{i}" for i in range(12)) + " FROM c GROUP BY og",
-    "tree_distances": f"WITH {_TIPS} SELECT least(a.name, b.name) AS x, greatest(a.name, b.name) AS y, a.len + b.len + CASE WHEN a.r = b.r THEN 0 ELSE a.r + b.r + 1 END AS d FROM t AS a JOIN t AS b ON a.len < b.len",
+    "tree_distances": f"WITH {_TIPS} SELECT least(a.name, b.name) AS x, greatest(a.name, b.name) AS y, CAST(a.len + b.len + CASE WHEN a.r = b.r THEN 0 ELSE a.r + b.r + 1 END AS double) AS d FROM t AS a JOIN t AS b ON a.len < b.len",
     "tree_placement_counts": "WITH c AS (SELECT c_custkey % 31 AS edge_num, CAST(c_custkey % 4 AS varchar) AS dataset, count(*) AS n FROM customer GROUP BY ALL) SELECT edge_num, dataset, n / sum(n) OVER (PARTITION BY dataset) AS n FROM c",
     "classify_key": """SELECT o_orderkey AS object, CASE WHEN o_orderstatus = 'O' THEN 'open' WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'urgent' WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS class FROM orders""",
     "taxonomy_paths": """

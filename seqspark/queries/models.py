@@ -8,7 +8,7 @@ from ..functions import ranges as G
 from ..operators import hits as H
 from ..operators import models as M
 from . import table
-from .coverage import SQL as _COV
+from .coverage import _HITS as _CAT
 from .coverage import catsbj_hits
 from .hits import go
 
@@ -96,6 +96,6 @@ SELECT avg(identity) AS haai, stddev_pop(identity) AS sd, count(*) AS models FRO
     "hits_pathways": f"WITH {_GO} SELECT 'path:map' || right(sseqid, 2) AS pathway, count(*) AS n FROM go WHERE sseqid IS NOT NULL GROUP BY 1",
     "hits_first": f"WITH {_GO} SELECT qseqid, min(hit_id) AS hit_id FROM go WHERE qseqid IS NOT NULL AND length >= 100 AND pident >= 40 AND bitscore >= 50 GROUP BY 1",
     "hits_best_filtered": f"WITH {_GO} SELECT qseqid, hit_id FROM go WHERE qseqid IS NOT NULL AND NOT isnan(bitscore) AND length >= 100 AND pident >= 40 AND bitscore >= 50 AND length / qry_len >= 0.5 QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, hit_id) = 1",
-    "recplot_legacy": _COV["catsbj_hits"].replace("SELECT hit_id, start, e AS", "SELECT ceil((start + e) / 2 / 1000) AS bin, count(*) AS reads, CAST(sum(e - start + 1) AS bigint) AS bases, avg(pident) AS mean, quantile_cont(pident, 0.25) AS q25, median(pident) AS median, quantile_cont(pident, 0.75) AS q75 FROM cat WHERE pident > 95 GROUP BY 1 --"),
+    "recplot_legacy": _CAT + "SELECT CAST(ceil((start + e) / 2 / 1000) AS bigint) AS bin, count(*) AS reads, CAST(sum(e - start + 1) AS bigint) AS bases, avg(pident) AS mean, quantile_cont(pident, 0.25) AS q25, median(pident) AS median, quantile_cont(pident, 0.75) AS q75 FROM cat WHERE pident > 95 GROUP BY 1",
     "clusters_shared": "WITH x AS (SELECT label AS a, vec_id % 10 AS b, count(*) AS n FROM embeddings GROUP BY ALL) SELECT a, b, n AS shared, sum(n) OVER (PARTITION BY a) + sum(n) OVER (PARTITION BY b) - n AS united FROM x",
 }
