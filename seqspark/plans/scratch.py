@@ -7,6 +7,7 @@ mode only. Everything written is removed when the driver's Python ends.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -61,12 +62,11 @@ def lookup(df: DataFrame, limit_mb: float = 16.0) -> DataFrame:
 
 @atexit.register
 def clean() -> None:
-    """Remove what :func:`store` and :func:`fixed` wrote; a failure is harmless."""
+    """Remove what :func:`store` and :func:`fixed` wrote; to be called once results that rest on it are no longer needed."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+        except Exception:  # noqa: BLE001 - the session may have ended; a folder on a file system is still within reach
+            shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)

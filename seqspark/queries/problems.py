@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     rows = loaded(parse_rows(table(spark, d, "hiv_mix_lines").select("line_id", "line")))
-    return rows.selectExpr("line_id", "cast(c0 as bigint) c0", "c1", "c2", "c3", "c8", "c9", "c10", "c11")
+    return rows.selectExpr("line_id", "try_cast(c0 as bigint) c0", "c1", "c2", "c3", "c8", "c9", "c10", "c11")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ SQL = {
     "p1_found": _PARSED + "SELECT line_id, reason FROM v WHERE reason IS NOT NULL",
     "p1_loaded": _PARSED
     + _CELLS
-    + "SELECT line_id, CAST(c0 AS bigint) AS c0, f[2] AS c1, try_cast(f[3] AS double) AS c2, try_cast(f[4] AS int) AS c3, try_cast(f[9] AS int) AS c8, try_cast(f[10] AS int) AS c9, try_cast(f[11] AS double) AS c10, CAST(c11 AS double) AS c11 FROM u",
+    + "SELECT line_id, try_cast(c0 AS bigint) AS c0, f[2] AS c1, try_cast(f[3] AS double) AS c2, try_cast(f[4] AS int) AS c3, try_cast(f[9] AS int) AS c8, try_cast(f[10] AS int) AS c9, try_cast(f[11] AS double) AS c10, CAST(c11 AS double) AS c11 FROM u",
     "p2_found": """
 WITH m AS (SELECT rec_id, CAST(manifest AS json) AS j FROM task_manifests WHERE manifest IS NOT NULL),
 t0 AS (SELECT rec_id, CASE WHEN (j->'tasks') IS NULL THEN [j] WHEN json_type(j->'tasks') = 'ARRAY' THEN CAST((j->'tasks') AS json[]) ELSE [(j->'tasks')] END AS l FROM m),
