@@ -57,8 +57,8 @@ def filter_ambiguous(records: DataFrame, content: float = 0.5, stretch: int = 10
     return records.filter(keep)
 
 
-def n50(records: DataFrame, least: int = 0, x: float = 50, length: str = "length", compat: bool = True) -> DataFrame:
-    """(nx, n, total, longest): the length at which lengths cumulated from the shortest reach x % of the total; without ``compat`` from the longest.
+def n50(records: DataFrame, least: int = 0, x: float = 50, length: str = "length", compat: bool = False) -> DataFrame:
+    """(nx, n, total, longest): the length at which lengths cumulated from the longest reach x % of the total; with ``compat`` from the shortest.
 
     Lengths are counted first, so that the cumulative window holds one row for each distinct length."""
     c = records.filter(F.col(length) >= least).groupBy(length).agg(F.count(F.lit(1)).alias("k"))

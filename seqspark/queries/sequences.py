@@ -31,11 +31,11 @@ def seq_gc(spark, d):
 
 
 def seq_n50(spark, d):
-    return S.n50(S.lengths(_seq(spark, d)), 100)
+    return S.n50(S.lengths(_seq(spark, d)), 100, compat=True)
 
 
 def seq_n90(spark, d):
-    return S.n50(S.lengths(_seq(spark, d)), 0, 90, compat=False)
+    return S.n50(S.lengths(_seq(spark, d)), 0, 90)
 
 
 def seq_qlen(spark, d):
