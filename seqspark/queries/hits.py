@@ -11,11 +11,11 @@ from . import table
 
 def go(spark: SparkSession, d: str) -> DataFrame:
     """Hits on function terms, each once."""
-    return table(spark, d, "a_mg_cds_go").drop("loaded_at").distinct()
+    return table(spark, d, "a_mg_cds_go").drop("loaded_at").dropDuplicates(["hit_id"])
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of reads on genes, each once."""
+    """Hits of reads on genes, each distinct row once: a few rows of one hit_id differ in values, so the whole row counts."""
     return table(spark, d, "a_mg_reads_cds").drop("loaded_at").distinct()
 
 
