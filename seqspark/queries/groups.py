@@ -106,9 +106,17 @@ def og_core_pan_random(spark, d):
     return O.core_pan_summary(O.core_pan(_og(spark, d).filter("(og + genome) % 4 <> 0"), 50))
 
 
+def _matches(spark, d):
+    return table(spark, d, "rbm").select(F.col("seq1").alias("genome1"), F.col("id1").alias("gene1"), F.col("seq2").alias("genome2"), F.col("id2").alias("gene2"))
+
+
 def og_components(spark, d):
-    m = table(spark, d, "rbm").select(F.col("seq1").alias("genome1"), F.col("id1").alias("gene1"), F.col("seq2").alias("genome2"), F.col("id2").alias("gene2"))
-    return O.groups_from_matches(m.filter("genome1 < genome2"))
+    """Groups of the matches from a lesser genome to a greater one only, as its SQL has it; :func:`og_components_all` takes every match."""
+    return O.groups_from_matches(_matches(spark, d).filter("genome1 < genome2"))
+
+
+def og_components_all(spark, d):
+    return O.groups_from_matches(_matches(spark, d))
 
 
 def og_annotate(spark, d):
@@ -230,7 +238,7 @@ def growth_fit(spark, d):
     return S.growth_curves(r.crossJoin(p).select(F.concat_ws("-", "r_regionkey", "k").alias("sample"), "t", (F.col("k") * 0.01 * x / (F.col("k") + 0.01 * (x - 1))).alias("od"))).select("sample", F.round("k", 4).alias("k"), F.round("r", 4).alias("r"))
 
 
-_ALL = (alpha_diversity, alpha_qd, alpha_rao, chao1, rand_index, taxon_distribution, aasubs_ratio, aasubs_permutation, aasubs_bootstrap, snp_filter, snp_summary, kaks, og_stats, og_core, og_no_inparalogs, og_core_pan, og_core_pan_random, og_components, og_annotate, og_extract, og_matrix, og_mcl)
+_ALL = (alpha_diversity, alpha_qd, alpha_rao, chao1, rand_index, taxon_distribution, aasubs_ratio, aasubs_permutation, aasubs_bootstrap, snp_filter, snp_summary, kaks, og_stats, og_core, og_no_inparalogs, og_core_pan, og_core_pan_random, og_components, og_components_all, og_annotate, og_extract, og_matrix, og_mcl)
 QUERIES = {f.__name__: f for f in (*_ALL, tree_distances, tree_placements, tree_placement_counts, tree_prune, classify_key, taxonomy_paths, taxon_of_contig, contigs_by_taxon, lineage_pivot, sample_moments, sarle_bimodality, truncated_mean, trib_hist, trib_replicates, gmm_peaks, mower_peaks, growth_fit)}
 
 _OTU = "c AS (SELECT l_returnflag || '-' || l_linestatus AS sample, 'o' || (l_partkey % 97) AS otu, CAST(sum(floor(l_quantity)) AS double) AS n FROM lineitem GROUP BY ALL HAVING sum(floor(l_quantity)) > 0)"
