@@ -1,8 +1,13 @@
 """Queries over all rows and columns of their tables, against brute force on the smallest scale."""
 
+from collections import defaultdict
+from statistics import mean, median
+
 import duckdb
+import pytest
 
 from seqspark.queries.groups import QUERIES as GROUPS
+from seqspark.queries.models import QUERIES as MODELS
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -26,3 +31,20 @@ def test_groups_hang_on_matches_of_either_direction(spark):
     assert any(a > b for a, b in pairs) and any(a[0] == b[0] and a != b for a, b in pairs)
     got = GROUPS["og_components_all"](spark, FOLDER).collect()
     assert sorted((r["og"], r["genome"], r["gene"]) for r in got) == sorted((">".join(top(v)), *v) for v in up)
+
+
+def test_models_count_every_hit(spark):
+    hits = read("SELECT DISTINCT l_suppkey % 10, l_partkey % 60, l_orderkey, l_partkey FROM {lineitem}")
+    genomes, models = defaultdict(list), dict.fromkeys(range(50), 0)
+    for genome, model, *_ in hits:
+        if model < 50:
+            genomes[genome].append(model)
+            models[model] += 1
+    want = {}
+    for genome, found in genomes.items():
+        complete, more = 2.0 * len(set(found)), 2.0 * (len(found) - len(set(found)))
+        want[genome] = pytest.approx((complete, more, complete - 5 * more))
+    got = MODELS["essential_quality_all"](spark, FOLDER).collect()
+    assert {r["genome"]: (r["completeness"], r["contamination"], r["quality"]) for r in got} == want
+    got = MODELS["essential_copies_all"](spark, FOLDER).first()
+    assert tuple(got) == pytest.approx((mean(models.values()), median(models.values()), sum(n > 0 for n in models.values())))
