@@ -110,14 +110,24 @@ def seq_concatenate(spark, d):
 
 
 def seq_variable_columns(spark, d):
+    """Starts of the sequences below key 200 only, as its SQL has it; :func:`seq_variable_columns_all` takes them all at full length."""
     a = _dna(spark, d).filter("rid < 200").select(F.lit(1).alias("file"), "id", F.concat(F.lit("AAC"), F.substring("seq", 1, 10)).alias("seq"))
     return S.concatenate_alignments(a, drop_invariable=True)
 
 
+def seq_variable_columns_all(spark, d):
+    return S.concatenate_alignments(_dna(spark, d).select(F.lit(1).alias("file"), "id", F.concat(F.lit("AAC"), "seq").alias("seq")), drop_invariable=True)
+
+
 def seq_partitions(spark, d):
+    """Ranges of the first 20 columns only, as its SQL has it; :func:`seq_partitions_all` takes them all."""
     return S.alignment_partitions(_dna(spark, d).select((F.col("rid") % 4).alias("file"), "id", F.substring("seq", 1, 20).alias("seq")))
 
 
+def seq_partitions_all(spark, d):
+    return S.alignment_partitions(_dna(spark, d).select((F.col("rid") % 4).alias("file"), "id", "seq"))
+
+
 def fastq_mask(spark, d):
     return S.mask_quality(_fastq(spark, d), 20).select("id", "seq")
 
@@ -159,7 +169,7 @@ def seq_simulate(spark, d):
     return S.simulate_pairs(_dna(spark, d), 2, 20, 50, 5)
 
 
-QUERIES = {f.__name__: f for f in (seq_length, seq_gc, seq_n50, seq_n90, seq_qlen, seq_filter_len, seq_filter_n, seq_revcom, seq_extract, seq_mask, seq_rename, seq_tag, seq_tag_list, seq_split_rr, seq_interpose, seq_slide, seq_slide_strict, seq_to_fastq, seq_wrap, seq_concatenate, seq_variable_columns, seq_partitions, fastq_mask, fastq_offset, fastq_recode, fastq_expected_error, fastq_observed_error, seq_sample, seq_sample_replace, seq_subsample, seq_fragment, seq_simulate)}
+QUERIES = {f.__name__: f for f in (seq_length, seq_gc, seq_n50, seq_n90, seq_qlen, seq_filter_len, seq_filter_n, seq_revcom, seq_extract, seq_mask, seq_rename, seq_tag, seq_tag_list, seq_split_rr, seq_interpose, seq_slide, seq_slide_strict, seq_to_fastq, seq_wrap, seq_concatenate, seq_variable_columns, seq_variable_columns_all, seq_partitions, seq_partitions_all, fastq_mask, fastq_offset, fastq_recode, fastq_expected_error, fastq_observed_error, seq_sample, seq_sample_replace, seq_subsample, seq_fragment, seq_simulate)}
 
 _DNA = "dna AS (SELECT p_partkey AS rid, 'p' || p_partkey AS id, translate(md5(CAST(p_partkey AS varchar)) || md5(CAST(p_size AS varchar)), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM part)"
 _FQ = _DNA + ", fq AS (SELECT *, md5(id) || md5(id) AS qual FROM dna)"

@@ -8,6 +8,7 @@ import pytest
 
 from seqspark.queries.groups import QUERIES as GROUPS
 from seqspark.queries.models import QUERIES as MODELS
+from seqspark.queries.sequences import QUERIES as SEQUENCES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -48,3 +49,14 @@ def test_models_count_every_hit(spark):
     assert {r["genome"]: (r["completeness"], r["contamination"], r["quality"]) for r in got} == want
     got = MODELS["essential_copies_all"](spark, FOLDER).first()
     assert tuple(got) == pytest.approx((mean(models.values()), median(models.values()), sum(n > 0 for n in models.values())))
+
+
+def test_alignments_are_whole(spark):
+    base = str.maketrans("0123456789abcdef", "ACGTACGTACGTACGN")
+    seqs = {f"p{k}": "AAC" + s.translate(base) for k, s in read("SELECT p_partkey, md5(CAST(p_partkey AS varchar)) || md5(CAST(p_size AS varchar)) FROM {part}")}
+    keep = [i for i in range(67) if len({s[i] for s in seqs.values()}) > 1]
+    got = SEQUENCES["seq_variable_columns_all"](spark, FOLDER).collect()
+    assert len(seqs) == 200 and len(keep) == 64
+    assert {r["id"]: r["seq"] for r in got} == {k: "".join(s[i] for i in keep) for k, s in seqs.items()}
+    got = SEQUENCES["seq_partitions_all"](spark, FOLDER).collect()
+    assert sorted(map(tuple, got)) == [(i, 64 * i + 1, 64 * i + 64) for i in range(4)]
