@@ -19,6 +19,11 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("line_id", "try_cast(c0 as bigint) c0", "c1", "c2", "c3", "c8", "c9", "c10", "c11")
 
 
+def p1_loaded_all(spark: SparkSession, d: str) -> DataFrame:
+    """The good rows with all twelve columns in the operator's own types; p1_loaded has eight of them, as its SQL does."""
+    return loaded(parse_rows(table(spark, d, "hiv_mix_lines").select("line_id", "line"))).drop("line")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return task_children(merkle_tables(table(spark, d, "task_manifests"), "rec_id", "manifest"), "rec_id")
 
@@ -27,7 +32,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return merge_intervals(table(spark, d, "a_mg_reads_cds"), "sseqid", "s_start", "s_end")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p2_found, p3_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_loaded_all, p2_found, p3_found)}
 
 _FIELD = r"""("([^"]|"")*"|[^"\t]*)"""
 _PARSED = rf"""

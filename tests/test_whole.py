@@ -1,6 +1,8 @@
 """Queries over all rows and columns of their tables, against brute force on the smallest scale."""
 
+import csv
 from collections import defaultdict
+from decimal import Decimal
 from statistics import mean, median
 
 import duckdb
@@ -8,6 +10,7 @@ import pytest
 
 from seqspark.queries.groups import QUERIES as GROUPS
 from seqspark.queries.models import QUERIES as MODELS
+from seqspark.queries.problems import QUERIES as PROBLEMS
 from seqspark.queries.sequences import QUERIES as SEQUENCES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,3 +63,21 @@ def test_alignments_are_whole(spark):
     assert {r["id"]: r["seq"] for r in got} == {k: "".join(s[i] for i in keep) for k, s in seqs.items()}
     got = SEQUENCES["seq_partitions_all"](spark, FOLDER).collect()
     assert sorted(map(tuple, got)) == [(i, 64 * i + 1, 64 * i + 64) for i in range(4)]
+
+
+def typed(line: str) -> tuple:
+    cells = [c.strip() for c in next(csv.reader([line.removesuffix("\r")], delimiter="\t", strict=True))]
+    return Decimal(cells[0]), cells[1], float(cells[2]), *map(int, cells[3:10]), float(cells[10]), float(cells[11])
+
+
+def test_good_lines_load_with_twelve_columns(spark, tmp_path):
+    got = PROBLEMS["p1_loaded_all"](spark, FOLDER)
+    assert got.columns == ["line_id", *[f"c{i}" for i in range(12)]]
+    lines = dict(read("SELECT line_id, line FROM {hiv_mix_lines}"))
+    bad = {r["line_id"] for r in PROBLEMS["p1_found"](spark, FOLDER).collect()}
+    good = {k: s for k, s in lines.items() if k not in bad and s is not None and s.strip() and not s.startswith("#")}
+    assert bad and {r["line_id"]: tuple(r)[1:] for r in got.collect()} == {k: typed(s) for k, s in good.items()}
+
+    wide = f"{2**63}\ts\t99.5\t100\t1\t2\t3\t102\t5\t104\t1e-9\t200"
+    spark.createDataFrame([(1, wide)], "line_id bigint, line string").write.parquet(f"{tmp_path}/hiv_mix_lines.parquet")
+    assert [tuple(r) for r in PROBLEMS["p1_loaded_all"](spark, str(tmp_path)).collect()] == [(1, *typed(wide))]
