@@ -19,8 +19,8 @@ from .mail import own_paragraphs
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?:\s|\Z)")
 _BLANK = re.compile(r"\n\s*\n")
-#: Labelled rows used for fitting at most; terms kept at most.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 50_000
+#: Labelled rows used for fitting at most.
+MAX_EXAMPLES = 20_000
 #: Part of a paragraph's best score that another subject needs to count in it as well.
 SHARE = 0.9
 
@@ -58,8 +58,7 @@ class Terms:
                         fit = sum((self.weight[w] for w in words if w in self.weight), np.zeros(len(subjects)))
                         best = max(labels, key=lambda s: fit[s])
                         parts[i] = {best: 1.0} if fit[best] > 0 else parts[i]
-        kept = sorted(self.weight, key=lambda w: (-self.weight[w].max() * seen[w], w))[:MAX_TERMS]
-        self.terms = sorted(kept)
+        self.terms = sorted(self.weight)
         self.matrix = np.array([self.weight[w] for w in self.terms]).reshape(len(self.terms), len(subjects))
         self.scale = np.ones(len(self.terms))
         self.threshold = np.zeros(len(subjects))
@@ -132,13 +131,13 @@ def subjects(documents: DataFrame, examples: DataFrame, areas: DataFrame, doc: s
     the area's threshold in, with a score of at least ``share`` of the paragraph's best (a lone sentence on something else is none).
 
     Terms and weights come from labelled examples (at most ``max_examples`` rows, taken in order of a hash), thresholds from the best F1
-    on them; how rare a term is, is counted over all documents. ``paragraphs`` gives a document's own paragraphs; each is read whole.
+    on them; every term of theirs and every area is kept, and the driver holds both. How rare a term is, is counted over all documents. ``paragraphs`` gives a document's own paragraphs; each is read whole.
     The corpus is parsed once, its term lists are written to the shared folder; it is never shuffled, save for the term counts.
 
     Null or empty texts have no subject. Documents with a null id take part, with that id. Repeated documents give a row each. Areas that
     are null or have no example are never assigned. No examples or no documents give no rows. Other columns are ignored.
     """
-    names = sorted({r[0] for r in areas.select(F.col(f"`{area}`")).limit(10_000).collect() if r[0] is not None})
+    names = sorted({r[0] for r in areas.select(F.col(f"`{area}`")).distinct().collect() if r[0] is not None})
     chosen = examples.select(F.col(f"`{body}`").alias("b"), F.col(f"`{labels}`").alias("s")).dropna()
     rows = [(r["b"], list(r["s"])) for r in chosen.orderBy(F.xxhash64("b"), "b").limit(max_examples).collect()]
     model = Terms(rows, names)
