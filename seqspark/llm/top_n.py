@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import store
+
 #: Rows of one sorted run.
 RUN_ROWS = 500_000
+#: Input rows for each bucket, on average; buckets are merged one after another, so this bounds what a task holds, whatever the input.
+BUCKET_ROWS = 500_000
+#: Runs that are merged at once; more are merged in rounds.
+FAN_IN = 512
 
 
 class Run:
@@ -78,7 +84,7 @@ class LoserTree:
 
 
 def merge_runs(runs: list[Run], n: int) -> Iterator[tuple]:
-    """(group, item, rank) of the first ``n`` distinct items of each group, in order."""
+    """(group, score, item, rank) of the first ``n`` distinct items of each group, in order."""
     tree = LoserTree(runs)
     group, taken = None, set()
     while tree.k:
@@ -91,68 +97,110 @@ def merge_runs(runs: list[Run], n: int) -> Iterator[tuple]:
         if len(taken) < n:
             if item not in taken:
                 taken.add(item)
-                yield g, item, len(taken)
+                yield g, run.scores[run.i], item, len(taken)
             run.step()
         else:
             run.seek()
         tree.replay()
 
 
-def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int = 5, buckets: int | None = None) -> DataFrame:
+def _bucket_of(groups: pd.Series, n: int) -> np.ndarray:
+    return (pd.util.hash_array(groups.to_numpy()) % np.uint64(n)).astype(np.int32)
+
+
+def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int = 5, buckets: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """(group, item, rank): of every group the ``n`` items of the highest score, equal scores by item upwards; rank counts from 1.
 
     An item counts once in its group, with its best score. Rows with a null group or item, or a score that is null or not a number, do not
     count; infinite scores do. Groups with fewer items have all of them. No rows give no rows. Other columns are ignored.
 
     Each input task sorts its rows into runs and keeps at most ``n`` items of a group in a run (more can't be among the best), so a group
-    that holds a third of all rows sends ``n`` rows per run. A run is cut into buckets by a hash of the group; a bucket's runs meet in one
-    task, where a loser tree merges them and, after ``n`` outputs, moves every run on to the next group.
+    that holds a third of all rows sends ``n`` rows per run. A run is cut into buckets by a hash of the group and stored. Buckets come
+    sorted to the tasks, which merge one after another with a loser tree that, after ``n`` outputs, moves every run on to the next group:
+    a task holds one bucket's runs at a time. There are as many buckets as the measured number of rows asks for. More than ``fan_in`` runs
+    are merged in rounds, each of which leaves one run, of ``n`` items of a group again, for every ``fan_in``.
     """
     kinds = {c: df.schema[c].dataType for c in (group, item)}
-    stored = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("groups", T.ArrayType(kinds[group])), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("items", T.ArrayType(kinds[item]))])
+    held = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("groups", T.ArrayType(kinds[group])), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("items", T.ArrayType(kinds[item]))])
     out = T.StructType([T.StructField(group, kinds[group]), T.StructField(item, kinds[item]), T.StructField("rank", T.IntegerType())])
-    n_buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
     s = F.col(f"`{score}`").cast("double")
     rows = df.filter(F.col(f"`{group}`").isNotNull() & F.col(f"`{item}`").isNotNull() & s.isNotNull() & ~F.isnan(s)).select(F.col(f"`{group}`").alias("g"), s.alias("s"), F.col(f"`{item}`").alias("i"))
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(stored)
+        schema, number = to_arrow_schema(held), TaskContext.get().partitionId() << 32
 
-        def runs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pdf = pa.Table.from_batches(held).to_pandas()
+        def runs(part: list[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+            pdf = pa.Table.from_batches(part).to_pandas()
             pdf = pdf.sort_values(["g", "s", "i"], ascending=[True, False, True], kind="stable").drop_duplicates(["g", "i"])
             pdf = pdf[pdf.groupby("g", sort=False).cumcount() < n]
-            pdf["b"] = (pd.util.hash_array(pdf["g"].to_numpy()) % np.uint64(n_buckets)).astype(np.int32)
+            pdf["b"] = _bucket_of(pdf["g"], n_buckets)
             pdf = pdf.sort_values("b", kind="stable")
             found: list[dict] = []
-            for b, part in pdf.groupby("b", sort=False):
-                g = part["g"].to_numpy()
+            for b, one in pdf.groupby("b", sort=False):
+                g = one["g"].to_numpy()
                 at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                found.append({"bucket": b, "groups": g[at].tolist(), "counts": np.diff(np.r_[at, len(g)]).tolist(), "scores": part["s"].tolist(), "items": part["i"].tolist()})
+                found.append({"bucket": b, "run": run, "groups": g[at].tolist(), "counts": np.diff(np.r_[at, len(g)]).tolist(), "scores": one["s"].tolist(), "items": one["i"].tolist()})
                 if len(found) >= 64:
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
                     found = []
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-        held, size = [], 0
+        part, size = [], 0
         for b in batches:
-            held.append(b)
+            part.append(b)
             size += b.num_rows
             if size >= RUN_ROWS:
-                yield from runs(held)
-                held, size = [], 0
+                yield from runs(part, number)
+                part, size, number = [], 0, number + 1
         if size:
-            yield from runs(held)
-
-    def merge(table: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        cursors = [Run(r["groups"], r["counts"], r["scores"], r["items"]) for r in table.select(["groups", "counts", "scores", "items"]).to_pylist()]
-        got = list(merge_runs(cursors, n))
-        schema = to_arrow_schema(out)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), schema)] if got else [pa.array([], f.type) for f in schema], schema=schema)
-
-    return rows.mapInArrow(form, stored).groupBy("bucket").applyInArrow(merge, out)
+            yield from runs(part, number)
+
+    def merging(last: bool):
+        """Merge the runs of one (bucket, turn) after another, as they come sorted."""
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            schema = to_arrow_schema(out if last else held)
+
+            def close(key: tuple, cursors: list[Run]) -> Iterator[pa.RecordBatch]:
+                got = list(merge_runs(cursors, n))
+                if last:
+                    for at in range(0, len(got), 100_000):
+                        cols = list(zip(*got[at : at + 100_000]))
+                        yield pa.RecordBatch.from_arrays([pa.array(cols[i], schema[k].type) for k, i in enumerate((0, 2, 3))], schema=schema)
+                else:
+                    names = [g[0] for g in got if g[3] == 1]
+                    ends = [i for i, g in enumerate(got) if g[3] == 1] + [len(got)]
+                    yield pa.RecordBatch.from_pylist([{"bucket": key[0], "run": key[1], "groups": names, "counts": np.diff(ends).tolist(), "scores": [g[1] for g in got], "items": [g[2] for g in got]}], schema=schema)
+
+            key, cursors = None, []
+            for b in batches:
+                for r in range(b.num_rows):
+                    row = {c: b.column(c)[r] for c in ("bucket", "turn", "groups", "counts", "scores", "items")}
+                    now = (row["bucket"].as_py(), row["turn"].as_py())
+                    if now != key:
+                        if cursors:
+                            yield from close(key, cursors)
+                        key, cursors = now, []
+                    cursors.append(Run(*(row[c].as_py() for c in ("groups", "counts", "scores", "items"))))
+            if cursors:
+                yield from close(key, cursors)
+
+        return merge
+
+    runs = store(rows.mapInArrow(form, held), "runs")
+    many = runs.select("run").distinct().count()
+    while many > fan_in:
+        turn = F.pmod(F.xxhash64("run"), F.lit(-(-many // fan_in)))
+        runs = store(_by_bucket(runs.withColumn("turn", turn)).mapInArrow(merging(False), held), "runs")
+        many = runs.select("run").distinct().count()
+    return _by_bucket(runs.withColumn("turn", F.lit(0).cast("long"))).mapInArrow(merging(True), out)
+
+
+def _by_bucket(runs: DataFrame) -> DataFrame:
+    return runs.repartition("bucket", "turn").sortWithinPartitions("bucket", "turn", "run")
