@@ -1,8 +1,6 @@
 """Queries over all rows and columns of their tables, against brute force on the smallest scale."""
 
 import csv
-import itertools
-import string
 from collections import defaultdict
 from decimal import Decimal
 from statistics import mean, median
@@ -10,7 +8,6 @@ from statistics import mean, median
 import duckdb
 import pytest
 
-from seqspark.llm.subjects import Terms, subjects
 from seqspark.queries.groups import QUERIES as GROUPS
 from seqspark.queries.models import QUERIES as MODELS
 from seqspark.queries.problems import QUERIES as PROBLEMS
@@ -84,15 +81,3 @@ def test_good_lines_load_with_twelve_columns(spark, tmp_path):
     wide = f"{2**63}\ts\t99.5\t100\t1\t2\t3\t102\t5\t104\t1e-9\t200"
     spark.createDataFrame([(1, wide)], "line_id bigint, line string").write.parquet(f"{tmp_path}/hiv_mix_lines.parquet")
     assert [tuple(r) for r in PROBLEMS["p1_loaded_all"](spark, str(tmp_path)).collect()] == [(1, *typed(wide))]
-
-
-def test_every_area_and_term_is_kept(spark):
-    garden, other = "The hedge is fine. The hedge is cut. The hedge is here.", "The choir is fine. The choir is loud. The choir is here."
-    examples = spark.createDataFrame([(garden, ["garden"]), (other, ["area1"])] * 20, "body string, subjects array<string>")
-    docs = spark.createDataFrame([(1, "H: x\n\n" + garden)], "doc_id int, text string")
-    areas = spark.createDataFrame([(f"area{i}",) for i in range(10_000)] + [("garden",)], "subject string").coalesce(1)
-    assert [tuple(r) for r in subjects(docs, examples, areas).collect()] == [(1, "garden")]
-
-    words = ["".join(w) for w in itertools.islice(itertools.product(string.ascii_lowercase, repeat=4), 50_002)]
-    half = [(" ".join(words[::2]), ["a"]), (" ".join(words[1::2]), ["b"])]
-    assert Terms(half * 3, ["a", "b"]).terms == words
