@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import merge_intervals
+from .intervals import merge_intervals, overlap_join
 
 
 def depth_runs(spans: DataFrame, key: str = "contig", start: str = "start", end: str = "end") -> DataFrame:
@@ -39,6 +39,11 @@ def _cumulated(hist: DataFrame, keys: list[str]) -> DataFrame:
     return hist.withColumn("cum", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
 
 
+def _median(hist: DataFrame, key: str, name: str = "median") -> DataFrame:
+    """(key, name): the lower median over positions."""
+    return _cumulated(hist, [key]).filter(F.col("cum") > F.floor((F.col("total") - 1) / 2)).groupBy(key).agg(F.min("depth").alias(name))
+
+
 def truncated_depth(hist: DataFrame, keys: list[str], keep: float = 0.5) -> DataFrame:
     """(keys, tad, length, breadth): mean depth of the central ``keep`` of positions, and the share of positions of some depth."""
     r = F.round((1 - F.lit(keep)) / 2 * F.col("total"))
@@ -56,7 +61,7 @@ def sequence_depth(spans: DataFrame, lengths: DataFrame, key: str = "contig", co
     if compat:
         extra = hist.select(key).distinct().select(key, F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("n"))
         hist = hist.unionByName(extra).groupBy(key, "depth").agg(F.sum("n").alias("n"))
-    half = _cumulated(hist, [key]).filter(F.col("cum") > F.floor((F.col("total") - 1) / 2)).groupBy(key).agg(F.min("depth").alias("median"))
+    half = _median(hist, key)
     sums = spans.filter(F.col("end") > F.col("start")).groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias("s"), F.count(F.lit(1)).alias("reads"))
     return sums.join(half, key).join(lengths, key).select(key, (F.col("s") / F.col("length")).alias("average"), "median", "reads", "length")
 
@@ -68,14 +73,16 @@ def average_depth(hits: DataFrame, key: str = "sseqid", length: str = "sbj_len")
 
 
 def zero_inflated_depth(hist: DataFrame, key: str = "contig", compat: bool = False) -> DataFrame:
-    """(key, mean, variance, lam, pi): zero-inflated Poisson moments; where the variance is no larger than the mean, lam is the mean and
-    pi 0. With ``compat`` the squared mean is taken off the variance once more."""
+    """(key, mean, variance, lam, pi, median, median_covered): zero-inflated Poisson moments; where the variance is no larger than the mean,
+    lam is the mean and pi 0. The medians are the lower ones over all positions and over those of some depth (null without any). With
+    ``compat`` the squared mean is taken off the variance once more."""
     s = hist.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("depth")).alias("s"), F.sum(F.col("n") * F.col("depth") * F.col("depth")).alias("q"))
     m = F.col("s") / F.col("n")
     s = s.select(key, m.alias("mean"), (F.col("q") / F.col("n") - m * m - (m * m if compat else F.lit(0.0))).alias("variance"))
     over = F.col("variance") > F.col("mean")
     lam = F.when(over, F.col("mean") + F.col("variance") / F.col("mean") - 1).otherwise(F.col("mean"))
-    return s.withColumn("lam", lam).withColumn("pi", F.when(over, 1 - F.col("mean") / F.col("lam")).otherwise(0.0))
+    s = s.withColumn("lam", lam).withColumn("pi", F.when(over, 1 - F.col("mean") / F.col("lam")).otherwise(0.0))
+    return s.join(_median(hist, key), key).join(_median(hist.filter("depth > 0"), key, "median_covered"), key, "left")
 
 
 def depth_windows(runs: DataFrame, width: int = 1000, start: str = "start", end: str = "end") -> DataFrame:
@@ -120,6 +127,86 @@ def feature_gaps(features: DataFrame, seqid: str = "seqid", start: str = "start"
     return gaps.unionByName(features.select(seqid, F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), F.lit("FEAT").alias("kind")))
 
 
+def previous_row(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """Rows with ``before``, a struct of ``columns`` of the row before by ``order`` (a whole number), null for the first. Goes in two
+    levels: within blocks of the order, and from the last row of the block before."""
+    x = rows.withColumn("__b", F.floor(F.col(order) / 65536)).withColumn("__row", F.struct(*columns))
+    last = x.groupBy("__b").agg(F.max_by("__row", order).alias("__last"))
+    last = last.select("__b", F.lag("__last").over(Window.orderBy("__b")).alias("__before"))  # a row per block
+    inner = x.withColumn("__in", F.lag("__row").over(Window.partitionBy("__b").orderBy(order)))
+    return inner.join(last, "__b").withColumn("before", F.coalesce("__in", "__before")).drop("__b", "__row", "__in", "__before")
+
+
+def feature_breaks(features: DataFrame, offsets: DataFrame, gaps: bool = True, order: str = "rid") -> DataFrame:
+    """(rid, end, name, kind): ends of features (rid, seqid, start, end, name; in file order) in coordinates of the concatenated sequences of
+    ``offsets`` (id, offset, length), to be read in the order of rid and end.
+
+    With ``gaps`` a row GAP, named ``before~after``, ends where a feature begins later than the one before ended, and one that leads to the
+    end of the last sequence; a feature that begins earlier begins there. Row 0 is the start. Features of unknown sequences, or with a
+    null, drop out."""
+    o = offsets.select(F.col("id").alias("seqid"), "offset")
+    total = offsets.agg(F.max(F.col("offset") + F.col("length") + 1).alias("__total"))
+    f = features.join(o, "seqid").select(F.col(order).alias("rid"), (F.col("offset") + F.col("start") + 1).alias("start"), (F.col("offset") + F.col("end") + 1).alias("end"), "name").dropna()
+    first = features.sparkSession.createDataFrame([(-1, 1, "NA", "NA")], "rid long, end long, name string, kind string")
+    ends = f.select("rid", "end", "name", F.lit("FEAT").alias("kind"))
+    if not gaps:
+        return first.unionByName(ends)
+    p = previous_row(f, "rid", ["end", "name"])
+    came, called = F.coalesce(F.col("before.end"), F.lit(1)), F.coalesce(F.col("before.name"), F.lit("NA"))
+    hole = p.filter(F.col("start") > came).select("rid", F.col("start").alias("end"), F.concat_ws("~", called, "name").alias("name"), F.lit("GAP").alias("kind"))
+    tail = f.agg(F.max_by(F.struct("rid", "end", "name"), "rid").alias("x")).crossJoin(total).filter("x.end <> __total")  # one row
+    tail = tail.select(F.col("x.rid"), F.col("__total").alias("end"), F.concat_ws("~", "x.name", F.lit("NA")).alias("name"), F.lit("GAP").alias("kind"))
+    return first.unionByName(ends).unionByName(hole).unionByName(tail)
+
+
+def equal_breaks(limits: DataFrame, n: int = 1000) -> DataFrame:
+    """(pos_bin, low, high): ``n`` equal position bins from the first to the last position of ``limits`` (id, start, end)."""
+    ends = limits.agg(F.min("start").cast("double").alias("a"), F.max("end").cast("double").alias("b"))
+    at = lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / n
+    return limits.sparkSession.range(n).crossJoin(F.broadcast(ends)).select(F.col("id").alias("pos_bin"), at(F.col("id")).alias("low"), at(F.col("id") + 1).alias("high"))  # one row
+
+
+def sequence_breaks(limits: DataFrame) -> DataFrame:
+    """(pos_bin, low, high, name): one position bin a sequence: from where the one before ends to its own end."""
+    p = previous_row(limits.select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "start", ["end"])
+    number = cumulative_offsets(p.withColumn("one", F.lit(1)), "start", "one")
+    return number.select(F.col("offset").cast("long").alias("pos_bin"), F.coalesce(F.col("before.end"), F.col("start")).cast("double").alias("low"), F.col("end").cast("double").alias("high"), F.col("id").alias("name"))
+
+
+def table_breaks(breaks: DataFrame) -> DataFrame:
+    """(pos_bin, low, high, name): bins between consecutive rows of an explicit list (rid, at, name); a bin has the name of its end."""
+    p = previous_row(breaks, "rid", ["at"]).filter("before is not null")
+    number = cumulative_offsets(p.withColumn("one", F.lit(1)), "rid", "one")
+    return number.select(F.col("offset").cast("long").alias("pos_bin"), F.col("before.at").cast("double").alias("low"), F.col("at").cast("double").alias("high"), "name")
+
+
+def identity_range(records: DataFrame, column: str = "pident", free: bool = False) -> tuple[float, float]:
+    """Lowest and highest identity break: the range of the records' identities, and of 70 and 100 unless ``free``."""
+    r = records.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
+    low, high = (70.0, 100.0) if r["a"] is None else (float(r["a"]), float(r["b"]))
+    return (low, high) if free else (min(low, 70.0), max(high, 100.0))
+
+
+def recruitment_cells(records: DataFrame, bins: DataFrame, id_low: float = 70, id_high: float = 100, id_bins: int = 60, in_group: float = 95, column: str = "pident", width: int = 1000) -> DataFrame:
+    """(pos_bin, id_bin, n, in_group) as :func:`recruitment_plot`, for position bins (pos_bin, low, high) of any sizes and ``id_bins`` equal
+    identity bins, all open on the left. ``column`` may be a corrected identity or a score.
+
+    A range join made an equi-join: records and bins are spread over stretches of ``width`` positions, whatever the breaks."""
+    size = (id_high - id_low) / id_bins
+    r = records.select(F.lit(1).alias("k"), F.least("start", "end").alias("start"), F.greatest("start", "end").alias("end"), left_open_bin(F.col(column), id_low, size).alias("id_bin")).dropna().filter((F.col("id_bin") >= 0) & (F.col("id_bin") < id_bins))
+    b = bins.select(F.lit(1).alias("k"), "pos_bin", (F.floor("low") + 1).alias("start"), F.floor("high").alias("end"))
+    j = overlap_join(r, b, "k", width=width)
+    n = F.least("end", "end_r") - F.greatest("start", "start_r") + 1
+    cells = j.groupBy(F.col("pos_bin_r").alias("pos_bin"), "id_bin").agg(F.sum(n).alias("n"))
+    return cells.withColumn("in_group", id_low + (F.col("id_bin") + 0.5) * size > in_group)
+
+
+def cell_depth(cells: DataFrame, bins: DataFrame, selected: bool = True) -> DataFrame:
+    """(pos_bin, depth): bases over the size of the bin for in-group cells, or the others; bins without any have 0."""
+    n = cells.filter(F.col("in_group") == selected).groupBy("pos_bin").agg(F.sum("n").alias("n"))
+    return bins.select("pos_bin", "low", "high").join(n, "pos_bin", "left").select("pos_bin", (F.coalesce("n", F.lit(0)) / (F.col("high") - F.col("low"))).alias("depth"))
+
+
 def left_open_bin(x: Column, low: float, width: float) -> Column:
     """Number from 0 of the bin (low + i*width, low + (i+1)*width] that holds x; -1 for the lowest break itself."""
     return (F.ceil((x - low) / width) - 1).cast("int")
@@ -163,18 +250,18 @@ def bin_coordinates(bins: DataFrame, limits: DataFrame, width: int = 1000) -> Da
     return j.select("pos_bin", "id", (F.greatest(F.col("a"), F.col("pos_bin") * width) - F.col("a") + 1).alias("start"), (F.least(F.col("b") - 1, (F.col("pos_bin") + 1) * width - 1) - F.col("a") + 1).alias("end"))
 
 
-def window_threshold(depths: DataFrame, quantile: float) -> DataFrame:
-    """(threshold): depth at the quantile of a normal distribution fitted to the logarithm of the windows' depth."""
+def window_threshold(peaks: DataFrame, significance: float = 0.05, lower: bool = True) -> DataFrame:
+    """(threshold): the depth that is ``significance`` from the lower (or upper) end of the core peak (mean and sd in logarithms, core: as
+    of :func:`seqspark.operators.statistics.find_peaks`)."""
     from statistics import NormalDist
 
-    z = NormalDist().inv_cdf(quantile)
-    d = depths.filter("depth > 0")
-    return d.agg(F.exp(F.avg(F.ln("depth")) + z * F.stddev_pop(F.ln("depth"))).alias("threshold"))
+    z = NormalDist().inv_cdf(significance if lower else 1 - significance)
+    return peaks.filter("core").select(F.exp(F.col("mean") + z * F.col("sd")).alias("threshold"))
 
 
-def extract_windows(depths: DataFrame, quantile: float = 0.05, lower: bool = True) -> DataFrame:
+def extract_windows(depths: DataFrame, peaks: DataFrame, significance: float = 0.05, lower: bool = True) -> DataFrame:
     """Windows whose depth lies below (or above) the threshold of :func:`window_threshold`."""
-    t = F.broadcast(window_threshold(depths, quantile))  # one row
+    t = F.broadcast(window_threshold(peaks, significance, lower))  # one row
     return depths.crossJoin(t).filter(F.col("depth") < F.col("threshold") if lower else F.col("depth") > F.col("threshold")).drop("threshold")
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import store
+from .sequences import numbered
+
 
 def with_pooled(counts: DataFrame, sample: str = "sample", otu: str = "otu", n: str = "n", pooled: str = "gamma") -> DataFrame:
     """(sample, otu, n) added up, with all samples together as one more."""
@@ -76,6 +81,17 @@ def taxon_distribution(contigs: DataFrame, ranks: list[str], lineage: str = "lin
     return g.join(t, "rank").select("rank", "taxon", (1000 * F.col("n") / F.col("t")).alias("n"))
 
 
+def lineage_counts(contigs: DataFrame, ranks: list[str], lineage: str = "lineage", reads: str = "reads") -> DataFrame:
+    """(reads, one column for each rank): reads of each lineage, empty where it has no name at the rank: the rows of a Krona chart."""
+    names = [F.coalesce(F.col(lineage)[r], F.lit("")).alias(r) for r in ranks]
+    return contigs.select(F.col(reads).alias("reads"), *names).groupBy(*ranks).agg(F.sum("reads").alias("reads")).select("reads", *ranks)
+
+
+def gene_lineages(genes: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(gene, lineage) of the genes (gene, contig) on classified contigs (contig, lineage)."""
+    return genes.select("gene", "contig").join(contigs.select("contig", "lineage"), "contig").select("gene", "lineage")
+
+
 def substitution_ratio(counts: DataFrame, group: str = "group", aa: str = "aa", n: str = "n", a: object = "A", b: object = "B") -> DataFrame:
     """(aa, ratio): log10 of the sums of two groups for each amino acid; null where a sum is 0."""
     s = lambda g: F.sum(F.when(F.col(group) == g, F.col(n)).otherwise(0)).cast("double")
@@ -83,26 +99,28 @@ def substitution_ratio(counts: DataFrame, group: str = "group", aa: str = "aa",
     return t.select(aa, F.when((F.col("x") > 0) & (F.col("y") > 0), F.log10(F.col("x") / F.col("y"))).alias("ratio"))
 
 
-def substitution_resampling(counts: DataFrame, replicates: int, seed: int = 1, mode: str = "permutation", protein: str = "protein", group: str = "group", aa: str = "aa", n: str = "n", a: object = "A", b: object = "B") -> DataFrame:
-    """(rep, aa, ratio) of replicates: group labels permuted over proteins, or proteins drawn with replacement within groups.
+def substitution_resampling(counts: DataFrame, replicates: int = 1000, seed: int = 1, mode: str = "permutation", protein: str = "protein", group: str = "group", aa: str = "aa", n: str = "n", a: object = "A", b: object = "B", hashed: Callable[..., Column] = F.xxhash64) -> DataFrame:
+    """(rep, aa, ratio) of replicates, each with the ratio of :func:`substitution_ratio`: ``permutation`` swaps the two profiles of a protein
+    or leaves them, with even chances; ``bootstrap`` draws as many proteins as there are, with replacement, each with both its profiles.
 
-    A protein's draw is a hash of (seed, replicate, protein): a label at the groups' odds, or a Poisson number of copies (the limit of
-    drawing with replacement), so that replicates need no sort and give the same at each run."""
-    reps = counts.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "rep", F.col(protein)), 11).cast("double") + 0.5) / float(2**53)
+    Counts are added up by protein and amino acid first. Draws are hashes (``hashed``) of (seed, replicate, protein or number of the draw), so
+    they are the same at each run and on any partitioning. Proteins with a null name do not count."""
+    side = lambda g: F.sum(F.when(F.col(group) == g, F.col(n)).otherwise(0)).cast("double")
+    each = counts.filter(F.col(protein).isNotNull()).groupBy(F.col(protein).alias("__p"), aa).agg(side(a).alias("x"), side(b).alias("y"))
+    each = store(each, "profiles")
+    spark = counts.sparkSession
+    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
     if mode == "permutation":
-        odds = counts.select(protein, group).distinct().agg(F.avg(F.when(F.col(group) == a, 1.0).otherwise(0.0)).alias("__o"))
-        reps = reps.crossJoin(F.broadcast(odds)).withColumn(group, F.when(u < F.col("__o"), F.lit(a)).otherwise(F.lit(b)))  # one row
-        copies = F.lit(1)
+        swap = F.pmod(hashed(F.lit(seed), F.col("rep"), F.col("__p")), F.lit(2)) == 1
+        t = each.select("*", reps).withColumn("__x", F.when(swap, F.col("y")).otherwise(F.col("x"))).withColumn("y", F.when(swap, F.col("x")).otherwise(F.col("y"))).withColumn("x", F.col("__x")).drop("__x")
     else:
-        steps, total, term = F.lit(0), 0.0, 2.718281828459045**-1
-        for k in range(1, 9):
-            total += term
-            steps = steps + F.when(u > total, 1).otherwise(0)
-            term /= k
-        copies = steps
-    s = lambda g: F.sum(F.when(F.col(group) == g, F.col(n) * copies).otherwise(0)).cast("double")
-    t = reps.groupBy("rep", aa).agg(s(a).alias("x"), s(b).alias("y"))
+        names = store(each.select("__p").distinct().orderBy("__p").withColumn("rid", F.monotonically_increasing_id()), "proteins")
+        size = names.count()
+        drawn = F.pmod(hashed(F.lit(seed), F.col("rep"), F.col("id")), F.lit(max(size, 1)))
+        draws = spark.range(size).select("id", reps).select("rep", drawn.alias("k")).groupBy("rep", "k").agg(F.count(F.lit(1)).alias("times"))
+        t = each.join(numbered(names).select("__p", (F.col("number") - 1).alias("k")), "__p").join(draws, "k")
+        t = t.withColumn("x", F.col("x") * F.col("times")).withColumn("y", F.col("y") * F.col("times"))
+    t = t.groupBy("rep", aa).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     return t.select("rep", aa, F.when((F.col("x") > 0) & (F.col("y") > 0), F.log10(F.col("x") / F.col("y"))).alias("ratio"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import store
+
 #: Direction in which each sort key is better.
 BETTER = {"bitscore": "desc", "evalue": "asc", "pident": "desc", "length": "desc"}
 
@@ -61,14 +63,17 @@ def cog_categories(hits: DataFrame, cogs: DataFrame, gene: str, one_by_one: bool
     return hits.join(cats, hits[gene] == cats["__gene"]).drop("__gene")
 
 
-def sum_per_hit(hits: DataFrame, weights: DataFrame | None = None, query: str = "qseqid", subject: str = "sseqid", weight_id: str = "id", weight: str = "weight", min_score: float = 0, min_identity: float = 0, normalise: bool = False, zero: bool = False, max_queries: int | None = None) -> DataFrame:
+def sum_per_hit(hits: DataFrame, weights: DataFrame | None = None, query: str = "qseqid", subject: str = "sseqid", weight_id: str = "id", weight: str = "weight", min_score: float = 0, min_identity: float = 0, normalise: bool = False, zero: bool = False, max_queries: int | None = None, order: str = "hit_id") -> DataFrame:
     """(subject, total): sum over hits of the query's weight (1 without weights), divided by the query's number of hits if ``normalise``.
 
-    Hits under the limits do not count. A query without weight drops out, or counts 0 with ``zero``. Hits with a null subject drop out.
+    Hits under the limits do not count. With ``max_queries`` only so many queries count, those that come first by ``order``. A query without weight drops out, or counts 0 with ``zero``. Hits with a null subject drop out.
     """
-    kept = hits.filter((F.col("bitscore") >= min_score) & (F.col("pident") >= min_identity) & _n(subject).isNotNull()).select(_n(query).alias("__q"), _n(subject).alias("subject"))
+    kept = hits.filter((F.col("bitscore") >= min_score) & (F.col("pident") >= min_identity) & _n(subject).isNotNull())
+    first = [] if max_queries is None else [_n(order).alias("__o")]
+    kept = kept.select(_n(query).alias("__q"), _n(subject).alias("subject"), *first)
     if max_queries is not None:
-        kept = kept.join(kept.select("__q").distinct().orderBy("__q").limit(max_queries), "__q", "left_semi")
+        seen = kept.groupBy("__q").agg(F.min("__o").alias("__o")).orderBy("__o", "__q").limit(max_queries)
+        kept = kept.join(seen.select("__q"), "__q", "left_semi").drop("__o")
     if normalise or weights is not None:
         # per query first: a query's hits on one subject become one row before they meet its weight
         kept = kept.groupBy("__q", "subject").agg(F.count(F.lit(1)).alias("__n"))
@@ -132,17 +137,63 @@ def identity_statistics(matches: DataFrame, keys: list[str], identity: str = "pi
     return s.filter(F.col("n") >= min_hits)
 
 
-def rank_ancestors(nodes: DataFrame, rank: str, depth: int = 40) -> DataFrame:
+def passing_first(hits: DataFrame, query_lengths: DataFrame, subject_lengths: DataFrame, min_length: int = 0, min_identity: float = 20, min_score: float = 0, min_fraction: float = 0, query: str = "qseqid", subject: str = "sseqid", order: str = "hit_id") -> DataFrame:
+    """Each query's first hit by ``order`` that passes the limits; ``min_fraction`` is of the shorter of both sequences. Lengths: (id, length).
+    Hits of sequences without a length, or with a null in a compared column, pass nothing."""
+    q = query_lengths.select(F.col("id").alias("__q"), F.col("length").alias("__ql"))
+    s = subject_lengths.select(F.col("id").alias("__s"), F.col("length").alias("__sl"))
+    ok = (F.col("length") >= min_length) & (F.col("pident") >= min_identity) & (F.col("bitscore") >= min_score)
+    known = hits.filter(ok).join(q, hits[query] == q["__q"]).join(s, hits[subject] == s["__s"])
+    known = known.filter(F.col("length") / F.least("__ql", "__sl") >= min_fraction).drop("__q", "__s", "__ql", "__sl")
+    w = Window.partitionBy(_n(query)).orderBy(_n(order))
+    return known.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+
+
+def average_nucleotide_guard(sequences: DataFrame, most: float = 0.95, seq: str = "seq") -> DataFrame:
+    """Sequences of proteins; the query fails if more than ``most`` of all letters are A, C, G, T or N, as of a nucleotide sequence."""
+    share = sequences.agg((F.sum(F.length(F.regexp_replace(seq, "[^ACGTNacgtn]", ""))) / F.nullif(F.sum(F.length(seq)), F.lit(0))).alias("__share"))
+    told = sequences.crossJoin(F.broadcast(share))  # one row
+    fail = F.raise_error(F.lit("these look like nucleotide sequences")).cast("string")
+    return told.withColumn(seq, F.when(F.coalesce(F.col("__share") > most, F.lit(False)), fail).otherwise(F.col(seq))).drop("__share")
+
+
+def genome_identity(forward: DataFrame, reverse: DataFrame, lengths_1: DataFrame, lengths_2: DataFrame, min_hits: int = 50, correction: float | None = None, **limits: float) -> DataFrame:
+    """(direction, identity, sd, n, omega, frx): mean identity of two genomes and its population deviation from the hits of each on the other.
+
+    ``one-way 1`` and ``one-way 2`` are over the first hits that pass the ``limits`` (see :func:`passing_first`), ``two-way`` over those of the
+    second direction whose subject has its own first hit on their query. ``omega`` is the number of sequences of the genome with fewer, frx
+    the percentage of it with a match. A direction of fewer than ``min_hits`` hits has no identity. ``correction`` (0.8621 for windows of a
+    genome) maps an identity to 100-(100-id)/correction."""
+    one = passing_first(forward, lengths_1, lengths_2, **limits)
+    two = passing_first(reverse, lengths_2, lengths_1, **limits)
+    both = reciprocal_best_matches(two, one)
+    x = F.col("pident")
+    x = 100 - (100 - x) / correction if correction else x
+    ways = [h.select(F.lit(d).alias("direction"), x.alias("x")) for d, h in (("one-way 1", one), ("one-way 2", two), ("two-way", both))]
+    names = one.sparkSession.createDataFrame([("one-way 1",), ("one-way 2",), ("two-way",)], "direction string")
+    s = ways[0].unionByName(ways[1]).unionByName(ways[2]).groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("identity"), F.stddev_pop("x").alias("sd"))
+    sizes = lengths_1.agg(F.count_distinct("id").alias("a")).crossJoin(lengths_2.agg(F.count_distinct("id").alias("b"))).select(F.least("a", "b").alias("omega"))  # one row
+    out = names.join(s, "direction", "left").crossJoin(F.broadcast(sizes)).withColumn("n", F.coalesce("n", F.lit(0)))
+    enough = F.col("n") >= min_hits
+    return out.select("direction", F.when(enough, F.col("identity")).alias("identity"), F.when(enough, F.col("sd")).alias("sd"), "n", "omega", (100.0 * F.col("n") / F.nullif("omega", F.lit(0))).alias("frx"))
+
+
+def rank_ancestors(nodes: DataFrame, rank: str) -> DataFrame:
     """(tax_id, ancestor): for each taxon the ancestor (or itself) of ``rank``; taxa above the rank have none. nodes: (tax_id, parent_id, rank).
 
-    The closure doubles the looked-up distance in every step, so a tree of depth 40 takes six joins; cycles end with no ancestor.
+    The closure doubles the looked-up distance in every step, until no taxon has anything left to look up, however deep the tree is; what
+    is still looking after as many levels as there are taxa runs in a circle and has no ancestor.
     """
     step = nodes.select("tax_id", F.when(F.col("rank") == rank, F.col("tax_id")).alias("ancestor"), F.when((F.col("rank") != rank) & (F.col("parent_id") != F.col("tax_id")), F.col("parent_id")).alias("up"))
-    reach = 1
-    while reach < depth:
-        other = step.select(F.col("tax_id").alias("up"), F.col("ancestor").alias("__a"), F.col("up").alias("__u"))
-        step = step.join(other, "up", "left").select("tax_id", F.coalesce("ancestor", "__a").alias("ancestor"), F.when(F.coalesce("ancestor", "__a").isNull(), F.col("__u")).alias("up"))
-        reach *= 2
+    reach, taxa = 1, nodes.count()
+    while reach < 2 * taxa:
+        for _ in range(3):
+            other = step.select(F.col("tax_id").alias("up"), F.col("ancestor").alias("__a"), F.col("up").alias("__u"))
+            step = step.join(other, "up", "left").select("tax_id", F.coalesce("ancestor", "__a").alias("ancestor"), F.when(F.coalesce("ancestor", "__a").isNull(), F.col("__u")).alias("up"))
+            reach *= 2
+        step = store(step, "ancestors")
+        if step.filter("up is not null").isEmpty():
+            break
     return step.filter(F.col("ancestor").isNotNull()).select("tax_id", "ancestor")
 
 
@@ -162,10 +213,10 @@ def hits_to_rank(hits: DataFrame, taxon: Column, nodes: DataFrame, names: DataFr
 
 def taxon_prepare(hits: DataFrame, genes: DataFrame, min_fraction: float = 0.75) -> DataFrame:
     """(contig, gene, subject number, bitscore, pident) of hits that cover enough of their gene: length >= fraction * gene length / 3.
-    genes: (gene, contig, gene_len). The number is what follows ``gi|`` in the subject."""
+    genes: (gene, contig, gene_len). The number is what follows ``gi|`` in the subject. A score that is not a number comes out as null."""
     g = genes.select(F.col("gene").alias("qseqid"), "contig", "gene_len")
     kept = hits.join(g, "qseqid").filter(F.col("length") >= min_fraction * F.col("gene_len") / 3)
-    return kept.select("contig", F.col("qseqid").alias("gene"), F.regexp_extract("sseqid", r"gi\|(\d+)\|", 1).alias("gi"), "bitscore", "pident")
+    return kept.select("contig", F.col("qseqid").alias("gene"), F.regexp_extract("sseqid", r"gi\|(\d+)\|", 1).alias("gi"), F.nanvl("bitscore", F.lit(None)).alias("bitscore"), "pident")
 
 
 def search_progress(hits: DataFrame, queries: DataFrame, order: str = "hit_id") -> DataFrame:

@@ -36,6 +36,26 @@ def genome_quality(copies: DataFrame, models: DataFrame) -> DataFrame:
     return q.withColumn("quality", F.col("completeness") - 5 * F.col("contamination"))
 
 
+def restrict_models(models: DataFrame, excluded: list[str]) -> DataFrame:
+    """Models but those not expected in a domain, or not present once in its genomes."""
+    return models.filter(~F.col("model").isin(excluded)) if excluded else models
+
+
+def model_report(copies: DataFrame, models: DataFrame) -> DataFrame:
+    """(genome, model, copies) of each genome for models that are missing (0) or come more than once."""
+    n = copies.groupBy("genome", F.col("query").alias("model")).agg(F.count(F.lit(1)).alias("copies"))
+    grid = copies.select("genome").distinct().crossJoin(models.select("model").distinct())  # a row for each genome and model, as in a report
+    return grid.join(n, ["genome", "model"], "left").select("genome", "model", F.coalesce("copies", F.lit(0)).alias("copies")).filter("copies <> 1")
+
+
+def essential_sequences(copies: DataFrame, proteins: DataFrame, every_copy: bool = False, rename: str | None = None) -> DataFrame:
+    """(genome, model, id, seq): proteins (genome, id, seq) that are the gene of a model, in a metagenome with ``every_copy``; with ``rename``
+    the id is ``rename|model``."""
+    c = copies if every_copy else copies.filter("copy = 1")
+    j = c.select("genome", F.col("query").alias("model"), F.col("seq_id").alias("id")).join(proteins.select("genome", "id", "seq"), ["genome", "id"])
+    return j.select("genome", "model", F.concat_ws("|", F.lit(rename), "model").alias("id") if rename else F.col("id"), "seq")
+
+
 def copy_numbers(copies: DataFrame, models: DataFrame) -> DataFrame:
     """(mean, median, found): copies of each model in a metagenome, models without a hit having 0."""
     c = copies.groupBy(F.col("query").alias("model")).agg(F.count(F.lit(1)).alias("c"))

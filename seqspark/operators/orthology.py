@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.scratch import store
 from .sampling import shuffled
@@ -57,24 +58,44 @@ def group_statistics(og: DataFrame) -> DataFrame:
 
 
 def core_pan(og: DataFrame, replicates: int = 100, seed: int = 1, order: Column | None = None) -> DataFrame:
-    """(rep, k, core, pan): sizes of core and pan genome of the first k genomes, in ``replicates`` random orders (or in the order given).
+    """(rep, k, core, pan): sizes of core and pan genome of the first k genomes, in ``replicates`` random orders (or ordered by ``order``, made
+    of ``rep`` and ``genome``).
 
-    pan(k) counts groups whose first member has rank <= k, core(k) those whose first missing genome has rank > k. Genomes are few; each
-    replicate ranks them once and groups meet only their own genomes."""
-    genomes = og.select("genome").distinct()
+    pan(k) counts groups whose first member has rank <= k, core(k) those whose first missing genome has rank > k. Groups found in the same
+    genomes are counted first; the orders of the genomes, which are few, go along with the tasks, and each task adds up its own curves."""
+    genomes = og.select("genome").filter("genome is not null").distinct()
     ranks = genomes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     key = order if order is not None else shuffled(seed, F.col("rep"), F.col("genome"))
-    ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(key, "genome")))
-    n = genomes.count()
-    member = og.select("og", "genome").distinct().join(ranks, "genome").groupBy("rep", "og").agg(F.min("rank").alias("first"), F.sort_array(F.collect_list("rank")).alias("r"))
-    gap = F.filter(F.transform("r", lambda x, i: F.when(x != i + 1, i + 1)), lambda x: x.isNotNull())
-    member = member.withColumn("miss", F.coalesce(F.try_element_at(gap, F.lit(1)), F.size("r") + 1))
-    steps = F.explode(F.array(F.struct(F.col("first").alias("k"), F.lit(1).alias("pan"), F.lit(0).alias("core")), F.struct(F.lit(1).alias("k"), F.lit(0).alias("pan"), F.lit(1).alias("core")), F.struct(F.col("miss").alias("k"), F.lit(0).alias("pan"), F.lit(-1).alias("core"))))
-    change = member.select("rep", steps.alias("x")).groupBy("rep", "x.k").agg(F.sum("x.pan").alias("pan"), F.sum("x.core").alias("core"))
-    grid = ranks.select("rep", F.col("rank").alias("k"))
-    w = Window.partitionBy("rep").orderBy("k")
-    out = grid.join(change, ["rep", "k"], "left").select("rep", "k", F.sum(F.coalesce("core", F.lit(0))).over(w).alias("core"), F.sum(F.coalesce("pan", F.lit(0))).over(w).alias("pan"))
-    return out.filter(F.col("k") <= n)
+    rows = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(key, "genome"))).collect()
+    names = sorted({r["genome"] for r in rows})
+    at = {g: i for i, g in enumerate(names)}
+    by_rank = np.zeros((replicates, len(names)), np.int64)  # genome at each rank
+    for r in rows:
+        by_rank[r["rep"] - 1, r["rank"] - 1] = at[r["genome"]]
+    spark = og.sparkSession
+    numbers = spark.createDataFrame([(g, i) for g, i in at.items()], T.StructType([T.StructField("genome", og.schema["genome"].dataType), T.StructField("i", T.IntegerType())]))
+    member = og.select("og", "genome").join(F.broadcast(numbers), "genome").groupBy("og").agg(F.sort_array(F.collect_set("i")).alias("held"))  # as long as there are genomes
+    pattern = member.groupBy("held").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(batches):
+        import pandas as pd
+
+        g = len(names)
+        pan, core = np.zeros((replicates, g + 1), np.int64), np.zeros((replicates, g + 1), np.int64)
+        for pdf in batches:
+            for held, n in zip(pdf["held"], pdf["n"]):
+                here = np.zeros(g, bool)
+                here[held] = True
+                ordered = here[by_rank]
+                every = np.arange(replicates)
+                pan[every, ordered.argmax(axis=1)] += n
+                missing = np.where(ordered.all(axis=1), g, (~ordered).argmax(axis=1))
+                core[:, 0] += n
+                core[every, missing] -= n
+        pan, core = pan.cumsum(axis=1)[:, :g], core.cumsum(axis=1)[:, :g]
+        yield pd.DataFrame({"rep": np.repeat(np.arange(1, replicates + 1), g), "k": np.tile(np.arange(1, g + 1), replicates), "core": core.ravel(), "pan": pan.ravel()})
+
+    return pattern.mapInPandas(count, "rep int, k int, core long, pan long").groupBy("rep", "k").agg(F.sum("core").alias("core"), F.sum("pan").alias("pan"))
 
 
 def core_pan_summary(curves: DataFrame) -> DataFrame:
@@ -139,6 +160,8 @@ def _mcl(a: np.ndarray, b: np.ndarray, w: np.ndarray, inflation: float, prune: f
         m = new
         if off < tolerance:
             break
+    else:
+        raise RuntimeError("clusters did not settle")
     strong = (m > 0.01) | (m > 0.01).T
     label = np.arange(len(v))
     while True:
@@ -148,12 +171,13 @@ def _mcl(a: np.ndarray, b: np.ndarray, w: np.ndarray, inflation: float, prune: f
         label = low
 
 
-def markov_clusters(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", inflation: float = 1.5, prune: float = 1e-3, rounds: int = 60, tolerance: float = 1e-4, dense: int = 1000) -> DataFrame:
+def markov_clusters(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", inflation: float = 1.5, prune: float = 1e-3, rounds: int = 500, tolerance: float = 1e-4, dense: int = 1000) -> DataFrame:
     """(v, cluster): Markov clustering of a weighted graph: the column-stochastic matrix is squared, its entries raised to ``inflation``,
     brought back to column sums of 1 and pruned under ``prune`` until it settles; a cluster is named after its least member.
 
     Connected parts don't affect each other: those of at most ``dense`` vertices are clustered side by side, a task each, by dense matrices;
-    larger ones together as a sparse table (i, j, m), squared by one join and one sum, where pruning bounds a column to 1/prune entries."""
+    larger ones together as a sparse table (i, j, m), squared by one join and one sum, where pruning bounds a column to 1/prune entries. Both
+    give the same clusters. A graph that has not settled after ``rounds`` fails the query."""
     e = edges.select(F.col(a).cast("string").alias("i"), F.col(b).cast("string").alias("j"), F.col(weight).cast("double").alias("m")).dropna()
     e = store(e.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max("m").alias("m")), "mcl-edges")
     part = connected_groups(e, "i", "j").withColumnRenamed("og", "part")
@@ -192,6 +216,8 @@ def _sparse_clusters(e: DataFrame, inflation: float, prune: float, rounds: int,
         m = new
         if off < tolerance:
             break
+    else:
+        raise RuntimeError("clusters did not settle")
     return connected_groups(m.filter("m > 0.01").select(F.col("i").alias("a"), F.col("j").alias("b"))).withColumnRenamed("og", "cluster")
 
 

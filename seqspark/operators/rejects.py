@@ -76,8 +76,9 @@ def parse_rows(df: DataFrame, line: str = "line", fields: list[Field] | None = N
     ``reason`` is the first that applies: ``quoting`` (a field neither free of double quotes nor wholly enclosed, inner ones doubled),
     ``columns`` (not as many fields as asked for), ``value`` (a checked value is not of its kind). ``row`` is null for a failing row.
     One carriage return at the end is no part of a line. Lines that are null, of white space only or start with ``#`` are no data and do
-    not come out. Repeated lines come out as often as they occur. Values of unchecked columns that cannot be cast, and whole numbers of more than 38
-    digits, are null in ``row``. Other columns of ``df`` pass through; one named ``reason`` or ``row`` is replaced.
+    not come out. Repeated lines come out as often as they occur. Values of unchecked columns that cannot be cast are null in ``row``. A valid
+    value too large for its type (a whole number of more than 38 digits) is null there too, and stands as text in its field ``wide``, a
+    map that is null otherwise. Other columns of ``df`` pass through; one named ``reason`` or ``row`` is replaced.
     """
     fields = fields or HIT_FIELDS
     # the rows' own columns travel in one struct, where no name can clash with those made here
@@ -95,15 +96,20 @@ def parse_rows(df: DataFrame, line: str = "line", fields: list[Field] | None = N
     distinct = data.filter(F.col("__why").isNull()).select(cells.alias("x")).select("x.field", "x.value").distinct()
     ok = F.lit(False)
     for f in checked:
-        number = F.col("value").try_cast("double")
-        ok = ok | ((F.col("field") == f.name) & F.col("value").rlike(f.check[1]) & (number < float("inf")))
+        fine = F.col("value").rlike(f.check[1])
+        if f.check[2] == "double":
+            fine = fine & (F.col("value").try_cast("double") < float("inf"))
+        ok = ok | ((F.col("field") == f.name) & fine)
     dictionary = store(distinct.filter(~F.coalesce(ok, F.lit(False))).withColumn("why", F.lit(VALUE)), "invalid")
     wrong = lookup(dictionary, broadcast_mb)
     for f in checked:
         one = wrong.filter(F.col("field") == f.name).select(F.col("value").alias(f"__v_{f.name}"), F.col("why").alias(f"__w_{f.name}"))
         data = data.join(one, f"__v_{f.name}", "left")
     reason = F.coalesce("__why", *[f"__w_{f.name}" for f in checked])
-    typed = F.struct(*[(cell[f.name] if f.type == "string" else cell[f.name].try_cast(f.type)).alias(f.name) for f in fields])
+    cast = {f.name: cell[f.name] if f.type == "string" else cell[f.name].try_cast(f.type) for f in fields}
+    # a valid value that its type can't hold is kept as text
+    wide = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f.name) for f in checked]), F.array(*[F.when(cast[f.name].isNull(), cell[f.name]) for f in checked])), lambda _, v: v.isNotNull())
+    typed = F.struct(*[cast[f.name].alias(f.name) for f in fields], F.when(F.size(wide) > 0, wide).alias("wide"))
     return data.select("__in.*", reason.alias("reason"), F.when(reason.isNull(), typed).alias("row"))
 
 

@@ -7,12 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .coverage import cumulative_offsets
 from .sampling import uniform
 
+#: Larger than any character.
+_NONE = 0x110000
+
 #: Complements of the nucleotide codes (fixed values).
 BASES, COMPLEMENTS = "ACGTURYSWKMBDHVNacgturyswkmbdhvn", "TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn"
 
@@ -142,11 +148,12 @@ def split_round_robin(records: DataFrame, n: int = 12, labels: str = "number") -
 
 
 def interpose(files: list[DataFrame], check: bool = True) -> DataFrame:
-    """Records of several files taken in turn: (rid, file, ...) to be read in the order of rid and file. With ``check`` records of one place
-    must have one id (without a trailing mate mark), and files must be equally long; else the query fails."""
+    """Records of several files taken in turn: (rid, file, ...) to be read in the order of rid and file, where ``rid`` is now the record's
+    place in its file, from 1. With ``check`` records of one place must have one id (without a trailing mate mark), and files must be
+    equally long; else the query fails."""
     union = None
     for i, f in enumerate(files):
-        one = f.withColumn("file", F.lit(i))
+        one = numbered(f).withColumn("rid", F.col("number")).drop("number").withColumn("file", F.lit(i))
         union = one if union is None else union.unionByName(one)
     if check:
         w = Window.partitionBy("rid")
@@ -156,13 +163,13 @@ def interpose(files: list[DataFrame], check: bool = True) -> DataFrame:
     return union
 
 
-def slide(records: DataFrame, win: int = 18, step: int = 1, short: bool = False, strict: bool = False, seq: str = "seq") -> DataFrame:
+def slide(records: DataFrame, win: int = 18, step: int = 1, short: bool = False, strict: bool = False, seq: str = "seq", lerr: int = 0, seed: int = 1) -> DataFrame:
     """(id, start, seq): windows of every sequence; ``short`` keeps the tail, ``strict`` leaves out a window that ends with the sequence,
-    and windows of N alone."""
+    and windows of N alone. With ``lerr`` a window is longer or shorter by a whole number drawn evenly from -lerr up to, not including, lerr."""
     n = F.length(seq)
     last = n - 1 if short else n - win - (1 if strict else 0)
     w = records.select("id", F.col(seq).alias("__s"), F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>")).alias("__at"))
-    w = w.select("id", "__s", F.explode("__at").alias("start")).select("id", "start", F.substr("__s", F.col("start") + 1, F.lit(win)).alias("seq"))
+    w = w.select("id", "__s", F.explode("__at").alias("start")).select("id", "start", F.substr("__s", F.col("start") + 1, F.lit(win) + (F.floor(uniform(seed, F.col("id"), F.col("start")) * 2 * lerr).cast("int") - lerr if lerr else F.lit(0))).alias("seq"))
     return w.filter(~F.col("seq").rlike("^N*$")) if strict else w
 
 
@@ -228,12 +235,33 @@ def sample_exact(records: DataFrame, n: int | None = None, fraction: float | Non
     if n is None:
         n = round(records.count() * (fraction or 0))
     if not replace:
-        return records.orderBy(uniform(seed, F.col("rid")), "rid").limit(n)
+        return _lowest(records, n, seed)
     size = records.count()
     draws = records.sparkSession.range(n).select(F.floor(uniform(seed, F.col("id")) * size).alias("__k"))
     return numbered(records).join(draws, F.col("number") - 1 == F.col("__k")).drop("number", "__k")
 
 
+def _lowest(records: DataFrame, n: int, seed: int) -> DataFrame:
+    """The n records of the lowest hashes: those below a limit found from counts, and of the few in the range of the limit the first ones.
+
+    Hashes are counted in 4,096 ranges, then those of the range that holds the n-th in as many again; no task sees more than one range."""
+    x = records.withColumn("__u", uniform(seed, F.col("rid")))
+    low, width, left = 0.0, 1.0, n
+    for _ in range(2):
+        width /= 4096
+        inside = x.filter((F.col("__u") >= low) & (F.col("__u") < low + 4096 * width))
+        counts = {r["k"]: r["c"] for r in inside.groupBy(F.least(F.floor((F.col("__u") - low) / width), F.lit(4095)).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}  # at most 4,096 rows
+        for k in range(4096):
+            c = counts.get(k, 0)
+            if c >= left or k == 4095:
+                low += k * width
+                break
+            left -= c
+    below = x.filter(F.col("__u") < low)
+    edge = x.filter((F.col("__u") >= low) & (F.col("__u") < low + width)).orderBy("__u", "rid").limit(max(left, 0))
+    return below.unionByName(edge).drop("__u")
+
+
 def subsample(records: DataFrame, percents: list[float], replicates: int = 1, seed: int = 1) -> DataFrame:
     """Records with (percent, replicate) for each draw they are in; every draw is independent and the same at each run."""
     grid = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.lit(r).alias("replicate")) for p in percents for r in range(1, replicates + 1)]))
@@ -272,7 +300,8 @@ def fragment(records: DataFrame, completeness: float = 0.8, least: int = 500, se
 
 
 def simulate_pairs(genomes: DataFrame, coverage: float, read_len: int = 100, insert: int = 300, insert_sd: float = 30, error: float = 0.01, seed: int = 1) -> DataFrame:
-    """(id, mate, seq): read pairs from circular genomes; insert sizes are normal, each base is changed with the chance ``error``."""
+    """(id, mate, seq): read pairs from circular genomes; insert sizes are normal; each base is, with the chance ``error``, one of the three
+    others, all alike likely. Letters other than A, C, G and T stay."""
     g = genomes.select("id", "seq", F.length("seq").alias("n")).filter("n > 0")
     g = g.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("n") * coverage / (2 * read_len))).cast("int"))).alias("k"))
     u = lambda *x: uniform(seed, F.col("id"), F.col("k"), *map(F.lit, x))
@@ -280,23 +309,83 @@ def simulate_pairs(genomes: DataFrame, coverage: float, read_len: int = 100, ins
     g = g.withColumn("at", F.floor(u("c") * F.col("n")).cast("int")).withColumn("size", F.greatest(F.lit(read_len), F.round(insert + insert_sd * gauss).cast("int")))
     ring = F.repeat("seq", F.ceil((F.col("at") + F.col("size")) / F.col("n")).cast("int") + 1)
     m = g.select("id", "k", F.explode(F.array(*[F.struct(F.lit(i).alias("mate"), F.substr(ring, F.col("at") + s + 1, F.lit(read_len)).alias("seq")) for i, s in ((1, F.lit(0)), (2, F.col("size") - read_len))])).alias("x"))
-    noisy = F.array_join(F.transform(F.split("x.seq", ""), lambda b, i: F.when(uniform(seed, F.col("id"), F.col("k"), F.col("x.mate"), i) < error, F.substr(F.translate(b, "ACGT", "CGTA"), F.lit(1), F.lit(1))).otherwise(b)), "")
+    def other(b: Column, i: Column) -> Column:
+        # among the three bases that follow it in the circle ACGT
+        step = F.floor(uniform(seed, F.col("id"), F.col("k"), F.col("x.mate"), i, F.lit("other")) * 3).cast("int") + F.instr(F.lit("ACGT"), b)
+        return F.when(F.instr(F.lit("ACGT"), b) > 0, F.substr(F.lit("ACGTACG"), step + 1, F.lit(1))).otherwise(b)
+
+    noisy = F.array_join(F.transform(F.split("x.seq", ""), lambda b, i: F.when((b != "") & (uniform(seed, F.col("id"), F.col("k"), F.col("x.mate"), i) < error), other(b, i)).otherwise(b)), "")
     return m.select(F.concat_ws("_", "id", "k").alias("id"), F.col("x.mate").alias("mate"), noisy.alias("seq"))
 
 
-def concatenate_alignments(alignments: DataFrame, drop_invariable: bool = False, undefined: str = "-") -> DataFrame:
-    """(id, seq): sequences of several alignments (file, id, seq) put end to end by id; missing ones are filled with gaps."""
+def variable_columns(alignments: DataFrame, undefined: str = "-") -> DataFrame:
+    """(file, mask): for each alignment (file, seq) a text of 1 for columns that hold two different defined characters, else 0.
+
+    Each task keeps the least and largest character of every column; one row a task and alignment crosses the network."""
+    kind = alignments.schema["file"].dataType
+    part = T.StructType([T.StructField("file", kind), T.StructField("lo", T.BinaryType()), T.StructField("hi", T.BinaryType())])
+    skip = [ord(c) for c in {"-", *undefined}]
+
+    def merged(held: dict, key: object, lo: np.ndarray, hi: np.ndarray) -> None:
+        if key in held:
+            a, b = held[key]
+            n = max(len(a), len(lo))
+            grow = lambda x, v: np.pad(x, (0, n - len(x)), constant_values=v)
+            lo, hi = np.minimum(grow(a, _NONE), grow(lo, _NONE)), np.maximum(grow(b, 0), grow(hi, 0))
+        held[key] = (lo, hi)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        held: dict = {}
+        for b in batches:
+            for key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if s is not None:
+                    c = np.array([ord(x) for x in s] if not s.isascii() else np.frombuffer(s.encode(), np.uint8), np.uint32)
+                    gap = np.isin(c, skip)
+                    merged(held, key, np.where(gap, _NONE, c).astype(np.uint32), np.where(gap, 0, c).astype(np.uint32))
+        if held:
+            yield pa.RecordBatch.from_pylist([{"file": k, "lo": lo.tobytes(), "hi": hi.tobytes()} for k, (lo, hi) in held.items()], schema=to_arrow_schema(part))
+
+    def told(pdf):
+        import pandas as pd
+
+        held: dict = {}
+        for lo, hi in zip(pdf["lo"], pdf["hi"]):
+            merged(held, 0, np.frombuffer(lo, np.uint32), np.frombuffer(hi, np.uint32))
+        lo, hi = held[0]
+        return pd.DataFrame([(pdf["file"].iloc[0], "".join("1" if a < b else "0" for a, b in zip(lo, hi)))], columns=["file", "mask"])
+
+    return alignments.select("file", "seq").mapInArrow(seen, part).groupBy("file").applyInPandas(told, T.StructType([T.StructField("file", kind), T.StructField("mask", T.StringType())]))
+
+
+def concatenate_alignments(alignments: DataFrame, drop_invariable: bool = False, undefined: str = "-", ignore_after: str | None = None) -> DataFrame:
+    """(id, seq): sequences of several alignments (file, id, seq) put end to end by id; missing ones are filled with gaps. Ids are cut off at
+    the first match of the pattern ``ignore_after``; with ``drop_invariable`` columns without two different characters are left out."""
+    if ignore_after:
+        alignments = alignments.withColumn("id", F.regexp_replace("id", f"(?:{ignore_after}).*", ""))
+    if drop_invariable:
+        masks = F.broadcast(variable_columns(alignments, undefined))  # a row per alignment
+        kept = F.array_join(F.filter(F.split("seq", ""), lambda c, i: F.substr(F.col("mask"), i + 1, F.lit(1)) == "1"), "")
+        alignments = alignments.join(masks, "file").select("file", "id", kept.alias("seq"))
     size = alignments.groupBy("file").agg(F.max(F.length("seq")).alias("n"))
     grid = alignments.select("id").distinct().crossJoin(F.broadcast(size))  # a row per file and id, as in the result; files are few
-    full = grid.join(alignments.select("file", "id", "seq"), ["file", "id"], "left").select("file", "id", F.coalesce("seq", F.repeat(F.lit(undefined), F.col("n"))).alias("seq"))
-    if drop_invariable:
-        cols = full.select("file", "id", F.posexplode(F.split("seq", "")).alias("p", "c"))
-        keep = cols.filter(~F.col("c").isin("-", undefined, "")).groupBy("file", "p").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("file", "p")
-        full = cols.join(keep, ["file", "p"]).groupBy("file", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]), "").alias("seq"))
+    full = grid.join(alignments.select("file", "id", "seq"), ["file", "id"], "left").select("file", "id", F.coalesce("seq", F.repeat(F.lit(undefined[0]), F.col("n"))).alias("seq"))
     g = full.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("file", "seq"))).alias("x"))  # as long as there are files
     return g.select("id", F.array_join(F.transform("x", lambda x: x["seq"]), "").alias("seq"))
 
 
+def partition_lines(parts: DataFrame, model: str = "AUTO") -> DataFrame:
+    """(value): a line for each of :func:`alignment_partitions` as phylogeny programs take them; a model that ends with /3 tells the three
+    codon positions apart."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("file").cast("string"), "^.*/", ""), r"\..*", ""), "[^A-Za-z0-9_]", "_")
+    if model.endswith("/3"):
+        start, m = F.col("from") + F.col("k") - 1, model[:-2]
+        p = parts.filter(F.col("to") >= F.col("from")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
+        return p.select(F.concat(F.lit(m + ", "), name, F.lit("codon"), F.col("k").cast("string"), F.lit(" = "), start.cast("string"), F.lit("-"), F.col("to").cast("string"), F.lit("\\3")).alias("value"))
+    return parts.filter(F.col("to") >= F.col("from")).select(F.concat(F.lit(model + ", "), name, F.lit(" = "), F.col("from").cast("string"), F.lit("-"), F.col("to").cast("string")).alias("value"))
+
+
 def alignment_partitions(alignments: DataFrame) -> DataFrame:
     """(file, from, to): where each alignment's columns lie in the concatenated one, files in order of name."""
     size = alignments.groupBy("file").agg(F.max(F.length("seq")).alias("n"))

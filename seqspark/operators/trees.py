@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -122,6 +123,42 @@ def collapse_counts(counts: DataFrame, tree: DataFrame, nodes: list[int]) -> Dat
     return counts.join(first.withColumnRenamed("edge", "edge_num"), "edge_num", "left").groupBy(F.coalesce("__to", "edge_num").alias("edge_num"), "dataset").agg(F.sum("n").alias("n"))
 
 
+def itol_lines(counts: DataFrame, names: DataFrame, datasets: list[str], colours: list[str], area: bool = False, largest: float = 1.0, old: bool = False) -> DataFrame:
+    """(rank, value): lines of a pie-chart file for a tree viewer: a head, then for each edge with counts (edge_num, dataset, n) its name in
+    ``names`` (edge_num, name), the radius and a count for each data set. The radius is the sum, or with ``area`` such that areas are in
+    proportion, times the largest norm, cut to a whole number."""
+    wide = counts.groupBy("edge_num").pivot("dataset", datasets).agg(F.sum("n"))
+    cells = [F.coalesce(F.col(f"`{d}`"), F.lit(0.0)) for d in datasets]
+    total = sum(cells[1:], cells[0])
+    radius = ((2 * F.sqrt(total / F.lit(3.141592653589793)) if area else total) * largest).cast("long").cast("string")
+    name = F.coalesce("name", F.col("edge_num").cast("string"))
+    row = F.concat_ws("\t", name, F.concat(F.lit("R"), radius) if old else F.concat(F.lit("0.5\t"), radius), *[c.cast("string") for c in cells])
+    rows = wide.join(names.select("edge_num", "name"), "edge_num", "left").select((F.col("edge_num").cast("long") + 100).alias("rank"), row.alias("value"))
+    labels, tints = "\t".join(datasets), "\t".join(colours)
+    head = ["LABELS\t" + labels, "COLORS\t" + tints] if old else ["DATASET_PIECHART", "SEPARATOR TAB", "DATASET_LABEL\tReadPlacement", "COLOR\t#1f2122", "FIELD_LABELS\t" + labels, "FIELD_COLORS\t" + tints, "DATA"]
+    return counts.sparkSession.createDataFrame(list(enumerate(head)), "rank long, value string").unionByName(rows)
+
+
+def key_newick(key: DataFrame, first: str = "1") -> str:
+    """Newick text of a dichotomous key (a document): steps are inner nodes, conclusions tips. A key that runs in a circle raises ValueError."""
+    steps: dict[str, list] = {}
+    for r in key.select("step", "next", "terminal").collect():
+        steps.setdefault(r["step"], []).append((r["next"], r["terminal"]))
+    quoted = lambda n: "'" + n.replace("'", "''") + "'"
+    done: dict[str, str] = {}
+    todo: list[tuple[str, tuple]] = [(first, ())]
+    while todo:
+        step, above = todo.pop()
+        if step in above:
+            raise ValueError(f"the key runs in a circle at step {step}")
+        below = [n for n, end in steps.get(step, []) if not end and n not in done]
+        if below:
+            todo += [(step, above), *((n, (*above, step)) for n in below)]
+        else:
+            done[step] = "(" + ",".join(quoted(n) if end else done[n] for n, end in steps.get(step, [])) + ")" + quoted(step)
+    return done[first] + ";"
+
+
 def classify(characters: DataFrame, key: DataFrame, first: str = "1", most_branches: int = 10_000) -> DataFrame:
     """(object, class): objects (object, character, state) led through a dichotomous key (step, character, state, next, terminal); ``*``
     matches any state, after the named ones. An object that no branch fits has a null class; so has one with a null state where asked.
@@ -159,9 +196,10 @@ def classify(characters: DataFrame, key: DataFrame, first: str = "1", most_branc
     return at.select("object", "class")
 
 
-def prune_close_tips(tree: list[tuple], least: float | None = None, quantile: float = 0.25, most_exact: int = 40_000, rounds: int = 100) -> list[str]:
+def prune_close_tips(tree: list[tuple], least: float | None = None, quantile: float = 0.25, most_exact: int = 40_000, seed: int = 1) -> list[str]:
     """Names of the tips left once no two tips are closer than ``least`` (default: a quantile of the edge lengths). Of two close tips the one
-    with the shorter edge goes. Above ``most_exact`` tips one of each pair of sister tips is dropped first, until there are fewer.
+    with the shorter edge goes. Above ``most_exact`` tips one of each pair of sister tips, drawn at random, is dropped first, until there are
+    fewer. Goes on until no two are close, each round dropping one at least.
 
     A tree is small against the data; this runs on the driver in time linear in the tree for each round: the closest pair under every node
     is found from the nearest tip of its branches."""
@@ -174,7 +212,8 @@ def prune_close_tips(tree: list[tuple], least: float | None = None, quantile: fl
     alive = {r[0] for r in tree if r[0] not in parents}
     rows = sorted(tree, key=lambda r: -r[0])
     by = {r[0]: r for r in tree}
-    for _ in range(rounds * 50):
+    rng = random.Random(seed)
+    while True:
         near: dict[int, list[tuple[float, int]]] = {}
         drop: set[int] = set()
         used: set[int] = set()
@@ -184,7 +223,7 @@ def prune_close_tips(tree: list[tuple], least: float | None = None, quantile: fl
             if len(mine) == 2 and i not in alive:
                 (da, a), (db, b) = mine
                 if (da + db < least or len(alive) > most_exact) and not {a, b} & used:
-                    lose = a if (by[a][3] or 0) <= (by[b][3] or 0) else b
+                    lose = rng.choice((a, b)) if len(alive) > most_exact else a if (by[a][3] or 0) <= (by[b][3] or 0) else b
                     drop.add(lose)
                     used |= {a, b}
                     mine = [m for m in mine if m[1] != lose]
@@ -211,6 +250,37 @@ def taxonomy_from_paths(paths: DataFrame, path: str = "path", rank: str = "rank"
     return num.join(par, "up", "left").select("tax_id", F.coalesce("parent_id", F.lit(1)).alias("parent_id"), "name", F.coalesce("rank", F.lit("no rank")).alias("rank"), "full")
 
 
+#: Ranks of a taxonomy export that are called otherwise there (fixed values).
+EXPORTED_RANKS = {"superkingdom": "no rank", "domain": "superkingdom", "major_clade": "no rank"}
+
+
+def patched_paths(paths: DataFrame, patches: DataFrame, path: str = "path") -> DataFrame:
+    """Paths with those listed in ``patches`` (path, instead) replaced."""
+    p = patches.select(F.col("path").alias("__p"), F.col("instead").alias("__i")).dropDuplicates(["__p"])
+    return paths.join(p, F.col(path) == F.col("__p"), "left").withColumn(path, F.coalesce("__i", path)).drop("__p", "__i")
+
+
+def taxonomy_files(nodes: DataFrame, leaves: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Lines (rank, value) of the files ``names``, ``nodes``, ``merged`` (empty), ``taxfile`` and, for reference sequences (seqname, tax_id),
+    ``seqinfo`` of a taxonomy as of :func:`taxonomy_from_paths`, with its root."""
+    spark = nodes.sparkSession
+    root = spark.createDataFrame([(1, 1, "root", "no rank")], "tax_id long, parent_id long, name string, rank string")
+    n = root.unionByName(nodes.select(F.col("tax_id").cast("long"), F.col("parent_id").cast("long").alias("parent_id"), "name", "rank"))
+    other = F.create_map(*[F.lit(x) for pair in EXPORTED_RANKS.items() for x in pair])
+    exported = F.coalesce(F.try_element_at(other, F.col("rank")), F.col("rank"))
+    line = lambda *c: F.concat(F.concat_ws("\t|\t", *c), F.lit("\t|"))
+    out = {
+        "names": n.select("tax_id", line("tax_id", "name", F.lit(""), F.lit("scientific name")).alias("value")),
+        "nodes": n.select("tax_id", line("tax_id", "parent_id", exported, F.lit(""), *[F.lit("0")] * 8, F.lit("")).alias("value")),
+        "merged": n.limit(0).select("tax_id", F.lit("").alias("value")),
+        "taxfile": n.select("tax_id", F.concat_ws("\t", "tax_id", "parent_id", "rank", "name").alias("value")),
+    }
+    if leaves is not None:
+        quoted = [F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')) for c in ("seqname", "tax_id", "name")]
+        out["seqinfo"] = leaves.select("seqname", F.col("tax_id").cast("long").alias("tax_id")).join(n.select("tax_id", "name"), "tax_id").select("tax_id", F.concat_ws(",", *quoted).alias("value"))
+    return {k: v.withColumnRenamed("tax_id", "rank") for k, v in out.items()}
+
+
 def contig_ranks(contigs: DataFrame, rank: str = "genus", lineage: str = "lineage") -> DataFrame:
     """(contig, taxon): a contig's taxon at the rank in ``<rank>name;...``, else ``Unclassified``."""
     name = F.regexp_extract(F.col(lineage), f"<{rank}>([^;]+)", 1)

@@ -31,11 +31,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed with the rest."""
+    path = f"{shared_folder(spark).rstrip('/')}/seqspark-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def store(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and return the table: lineage ends there, and nothing is computed twice."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/seqspark-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

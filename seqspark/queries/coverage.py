@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage as C
+from ..operators import statistics as S
 from ..operators.intervals import overlap_join
 from . import table
 from .hits import gene_lengths, go, reads
@@ -109,7 +110,41 @@ def recplot_coordinates(spark, d):
 
 
 def recplot_windows(spark, d):
-    return C.extract_windows(recplot_depth(spark, d), 0.1)
+    """Windows far below the core peak, where one normal peak is fitted to all."""
+    w = recplot_depth(spark, d)
+    return C.extract_windows(w, S.find_peaks(w, most=1, drop_top=0), 0.1)
+
+
+def recplot_windows_core(spark, d):
+    """Windows far below the core peak of a mixture."""
+    w = recplot_depth(spark, d)
+    return C.extract_windows(w, S.find_peaks(w), 0.05)
+
+
+def _records(spark, d):
+    return catsbj_hits(spark, d).select("start", "end", "pident")
+
+
+def recplot_equal(spark, d):
+    r = _records(spark, d)
+    return C.recruitment_cells(r, C.equal_breaks(catsbj_offsets(spark, d), 200), *C.identity_range(r))
+
+
+def recplot_sequences(spark, d):
+    bins = C.sequence_breaks(catsbj_offsets(spark, d))
+    return C.cell_depth(C.recruitment_cells(_records(spark, d), bins), bins)
+
+
+def recplot_table(spark, d):
+    at = table(spark, d, "nation").select(F.col("n_nationkey").alias("rid"), (1 + F.col("n_nationkey") * F.col("n_nationkey") * 37.5).alias("at"), F.col("n_name").alias("name"))
+    bins = C.table_breaks(at)
+    cells = C.recruitment_cells(_records(spark, d), bins, id_bins=30)
+    return cells.join(bins.select("pos_bin", "name"), "pos_bin")
+
+
+def gff_breaks(spark, d):
+    f = reads(spark, d).filter("sseqid is not null and s_start is not null and s_end is not null").groupBy("hit_id").agg(F.min("sseqid").alias("seqid"), F.min(F.least("s_start", "s_end")).alias("start"), F.max(F.greatest("s_start", "s_end")).alias("end"))
+    return C.feature_breaks(f.select(F.col("hit_id").alias("rid"), "seqid", "start", "end", F.concat(F.lit("f"), F.col("hit_id").cast("string")).alias("name")), _offsets(spark, d))
 
 
 def anir(spark, d):
@@ -120,7 +155,7 @@ def anir_histogram(spark, d):
     return C.identity_histogram(reads(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (cov_histogram, cov_tad, cov_tad_total, cov_seqdepth, cov_average, cov_zip, catsbj_offsets, catsbj_hits, cov_window, gff_gaps, overlap_counts, recplot_counts, recplot_depth, recplot_cutoff, recplot_anir, recplot_compare, recplot_coordinates, recplot_windows, anir, anir_histogram)}
+QUERIES = {f.__name__: f for f in (cov_histogram, cov_tad, cov_tad_total, cov_seqdepth, cov_average, cov_zip, catsbj_offsets, catsbj_hits, cov_window, gff_gaps, overlap_counts, recplot_counts, recplot_depth, recplot_cutoff, recplot_anir, recplot_compare, recplot_coordinates, recplot_windows, recplot_windows_core, recplot_equal, recplot_sequences, recplot_table, gff_breaks, anir, anir_histogram)}
 
 _BASE = """
 WITH reads AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM a_mg_reads_cds),
@@ -152,6 +187,8 @@ b AS (SELECT *, unnest(generate_series(CAST(ceil(s / 1000.0) - 1 AS bigint), CAS
 cells AS (SELECT pos_bin, id_bin, CAST(sum(least(e, (pos_bin + 1) * 1000) - greatest(s, pos_bin * 1000 + 1) + 1) AS bigint) AS n FROM b GROUP BY ALL)
 """
 )
+_RECS = _HITS + ", lim AS (SELECT id, off + 1 AS a, off + length + 1 AS b FROM off), r AS (SELECT start AS s, e, pident FROM cat WHERE pident > 70)"
+_ANY = " c AS (SELECT pos_bin, CAST(ceil((pident - 70) / (30 / {n})) - 1 AS int) AS id_bin, CAST(sum(least(e, floor(high)) - greatest(s, floor(low) + 1) + 1) AS bigint) AS n FROM r JOIN b ON s <= floor(high) AND e >= floor(low) + 1 GROUP BY ALL) "
 _MID = "(70 + (id_bin + 0.5) * 0.5)"
 SQL = {
     "cov_histogram": _BASE + "SELECT contig, depth, n FROM hist",
@@ -163,8 +200,10 @@ m AS (SELECT contig, min(depth) AS median FROM c WHERE cum > floor((total - 1) /
 SELECT contig, sum(e - s) / length AS average, median, count(*) AS reads, length FROM spans JOIN m USING (contig) JOIN lens USING (contig) GROUP BY contig, median, length""",
     "cov_average": "SELECT sseqid, sum(abs(q_start - q_end) + 1) / max(sbj_len) AS average, count(*) AS reads, max(sbj_len) AS length FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM a_mg_cds_go) WHERE sseqid IS NOT NULL AND q_start IS NOT NULL AND q_end IS NOT NULL GROUP BY 1",
     "cov_zip": _BASE
-    + """, s AS (SELECT contig, sum(n * depth) / sum(n) AS mean, sum(n * depth * depth) / sum(n) AS q FROM hist GROUP BY 1), v AS (SELECT contig, mean, q - mean * mean AS variance FROM s)
-SELECT contig, mean, variance, CASE WHEN variance > mean THEN mean + variance / mean - 1 ELSE mean END AS lam, CASE WHEN variance > mean THEN 1 - mean / (mean + variance / mean - 1) ELSE 0 END AS pi FROM v""",
+    + """, s AS (SELECT contig, sum(n * depth) / sum(n) AS mean, sum(n * depth * depth) / sum(n) AS q FROM hist GROUP BY 1), v AS (SELECT contig, mean, q - mean * mean AS variance FROM s),
+c AS (SELECT *, sum(n) OVER (PARTITION BY contig ORDER BY depth) AS cum, sum(n) OVER (PARTITION BY contig) AS total FROM hist), m AS (SELECT contig, min(depth) AS median FROM c WHERE cum > floor((total - 1) / 2) GROUP BY 1),
+c2 AS (SELECT *, sum(n) OVER (PARTITION BY contig ORDER BY depth) AS cum, sum(n) OVER (PARTITION BY contig) AS total FROM hist WHERE depth > 0), m2 AS (SELECT contig, min(depth) AS median_covered FROM c2 WHERE cum > floor((total - 1) / 2) GROUP BY 1)
+SELECT contig, median, median_covered, mean, variance, CASE WHEN variance > mean THEN mean + variance / mean - 1 ELSE mean END AS lam, CASE WHEN variance > mean THEN 1 - mean / (mean + variance / mean - 1) ELSE 0 END AS pi FROM v JOIN m USING (contig) LEFT JOIN m2 USING (contig)""",
     "catsbj_offsets": _OFF + 'SELECT id, off + 1 AS start, off + length + 1 AS "end" FROM off',
     "catsbj_hits": _HITS + 'SELECT hit_id, start, e AS "end", pident, bitscore, read, corr AS corr_identity FROM cat',
     "cov_window": _OFF
@@ -189,6 +228,24 @@ SELECT sqrt(sum((sqrt(p) - sqrt(q)) ** 2)) / sqrt(2) AS hellinger, 1 - sum((sqrt
 SELECT pos_bin, id, greatest(a, pos_bin * 1000) - a + 1 AS start, least(b - 1, (pos_bin + 1) * 1000 - 1) - a + 1 AS "end" FROM s WHERE pos_bin IN (SELECT pos_bin FROM cells)""",
     "recplot_windows": _CELLS
     + f", w AS (SELECT pos_bin, sum(n) / 1000 AS depth FROM cells WHERE {_MID} > 95 GROUP BY 1) SELECT * FROM w WHERE depth < (SELECT exp(avg(ln(depth)) - 1.2815515655446004 * stddev_pop(ln(depth))) FROM w WHERE depth > 0)",
+    "recplot_equal": _RECS
+    + """, b AS (SELECT i AS pos_bin, mn + (mx - mn) * i / 200 AS low, mn + (mx - mn) * (i + 1) / 200 AS high FROM (SELECT unnest(generate_series(0, 199)) AS i) CROSS JOIN (SELECT CAST(min(a) AS double) AS mn, CAST(max(b) AS double) AS mx FROM lim)),"""
+    + _ANY.format(n=60)
+    + "SELECT pos_bin, id_bin, n, 70 + (id_bin + 0.5) * 0.5 > 95 AS in_group FROM c",
+    "recplot_sequences": _RECS
+    + """, b AS (SELECT row_number() OVER (ORDER BY a) - 1 AS pos_bin, coalesce(lag(b) OVER (ORDER BY a), a) AS low, b AS high FROM lim),"""
+    + _ANY.format(n=60)
+    + "SELECT pos_bin, coalesce(sum(n) FILTER (70 + (id_bin + 0.5) * 0.5 > 95), 0) / (high - low) AS depth FROM b LEFT JOIN c USING (pos_bin) GROUP BY pos_bin, high, low",
+    "recplot_table": _RECS
+    + """, b AS (SELECT n_nationkey - 1 AS pos_bin, 1 + (n_nationkey - 1) * (n_nationkey - 1) * 37.5::double AS low, 1 + n_nationkey * n_nationkey * 37.5::double AS high, n_name AS name FROM nation WHERE n_nationkey > 0),"""
+    + _ANY.format(n=30)
+    + "SELECT pos_bin, id_bin, n, 70 + (id_bin + 0.5) * 1.0 > 95 AS in_group, name FROM c JOIN b USING (pos_bin)",
+    "gff_breaks": _OFF
+    + """, f AS (SELECT hit_id AS rid, min(sseqid) AS seqid, min(least(s_start, s_end)) AS s, max(greatest(s_start, s_end)) AS e FROM reads WHERE sseqid IS NOT NULL AND s_start IS NOT NULL AND s_end IS NOT NULL GROUP BY 1),
+ft AS (SELECT rid, off + s + 1 AS s, off + e + 1 AS e, 'f' || rid AS name FROM f JOIN off ON id = seqid),
+p AS (SELECT *, coalesce(lag(e) OVER (ORDER BY rid), 1) AS came, coalesce(lag(name) OVER (ORDER BY rid), 'NA') AS called FROM ft), t AS (SELECT max(off + length + 1) AS total FROM off)
+SELECT -1 AS rid, 1 AS "end", 'NA' AS name, 'NA' AS kind UNION ALL SELECT rid, e, name, 'FEAT' FROM ft UNION ALL SELECT rid, s, called || '~' || name, 'GAP' FROM p WHERE s > came
+UNION ALL SELECT rid, total, name || '~NA', 'GAP' FROM (SELECT * FROM ft ORDER BY rid DESC LIMIT 1) CROSS JOIN t WHERE e <> total""",
     "anir": "SELECT avg(pident) AS anir, count(*) AS reads FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM a_mg_reads_cds) WHERE pident >= 95",
     "anir_histogram": "SELECT 100 - (k + 1) AS lower, 100 - k AS upper, count(*) AS n FROM (SELECT CAST(floor(100 - pident) AS int) AS k FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM a_mg_reads_cds) WHERE pident IS NOT NULL) GROUP BY 1, 2",
 }

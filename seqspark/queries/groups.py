@@ -9,7 +9,7 @@ from ..operators import orthology as O
 from ..operators import statistics as S
 from ..operators import trees as T
 from . import table
-from .coverage import recplot_depth
+from .coverage import _CELLS, recplot_depth
 from .hits import go
 
 
@@ -49,7 +49,7 @@ def taxon_distribution(spark, d):
 
 
 def _substitutions(spark, d):
-    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("protein"), F.when(F.col("l_orderkey") % 2 == 0, "A").otherwise("B").alias("group"), F.concat_ws(">", "l_returnflag", (F.col("l_partkey") % 20).cast("string")).alias("aa"), F.lit(1).alias("n"))
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("protein"), F.when(F.col("l_linestatus") == "F", "A").otherwise("B").alias("group"), F.concat_ws(">", "l_returnflag", (F.col("l_partkey") % 20).cast("string")).alias("aa"), F.lit(1).alias("n"))
 
 
 def aasubs_ratio(spark, d):
@@ -57,11 +57,16 @@ def aasubs_ratio(spark, d):
 
 
 def aasubs_permutation(spark, d):
-    return D.substitution_resampling(_substitutions(spark, d).groupBy("protein", "group", "aa").agg(F.sum("n").alias("n")), 100)
+    return D.substitution_resampling(_substitutions(spark, d), 1000, hashed=_md5)
 
 
 def aasubs_bootstrap(spark, d):
-    return D.substitution_resampling(_substitutions(spark, d).groupBy("protein", "group", "aa").agg(F.sum("n").alias("n")), 100, mode="bootstrap")
+    return D.substitution_resampling(_substitutions(spark, d), 1000, mode="bootstrap", hashed=_md5)
+
+
+def _md5(*columns):
+    """A hash that SQL has as well."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in columns])), 1, 8), 16, 10).cast("long")
 
 
 def _variants(spark, d):
@@ -83,7 +88,8 @@ def kaks(spark, d):
 
 
 def _og(spark, d):
-    return table(spark, d, "lineitem").filter("l_quantity > 30").select((F.col("l_partkey") % 500).alias("og"), (F.col("l_suppkey") % 12).alias("genome"), F.col("l_partkey").alias("gene")).distinct()
+    """Groups of very unequal size: the few of low number miss genomes."""
+    return table(spark, d, "lineitem").select(F.floor(F.sqrt("l_orderkey")).alias("og"), (F.col("l_suppkey") % 12).alias("genome"), F.col("l_partkey").alias("gene")).distinct()
 
 
 def og_stats(spark, d):
@@ -99,11 +105,11 @@ def og_no_inparalogs(spark, d):
 
 
 def og_core_pan(spark, d):
-    return O.core_pan(_og(spark, d).filter("(og + genome) % 4 <> 0"), 1, order=F.col("genome"))
+    return O.core_pan(_og(spark, d), 1, order=F.col("genome"))
 
 
 def og_core_pan_random(spark, d):
-    return O.core_pan_summary(O.core_pan(_og(spark, d).filter("(og + genome) % 4 <> 0"), 50))
+    return O.core_pan_summary(O.core_pan(_og(spark, d), 100, order=F.md5(F.concat_ws("|", F.col("rep").cast("string"), F.col("genome").cast("string")))))
 
 
 def _matches(spark, d):
@@ -111,11 +117,6 @@ def _matches(spark, d):
 
 
 def og_components(spark, d):
-    """Groups of the matches from a lesser genome to a greater one only, as its SQL has it; :func:`og_components_all` takes every match."""
-    return O.groups_from_matches(_matches(spark, d).filter("genome1 < genome2"))
-
-
-def og_components_all(spark, d):
     return O.groups_from_matches(_matches(spark, d))
 
 
@@ -139,6 +140,14 @@ def og_mcl(spark, d):
     return O.markov_clusters(m.select(F.concat_ws(">", "seq1", "id1").alias("a"), F.concat_ws(">", "seq2", "id2").alias("b"), F.col("bitscore").alias("weight")))
 
 
+def og_mcl_holds(spark, d):
+    """Every sequence is in one cluster, and no cluster reaches over two connected groups."""
+    c = og_mcl(spark, d)
+    m = table(spark, d, "rbm").dropna(subset=["seq1", "id1", "seq2", "id2", "bitscore"])
+    g = O.connected_groups(m.select(F.concat_ws(">", "seq1", "id1").alias("a"), F.concat_ws(">", "seq2", "id2").alias("b")))
+    return c.join(g, "v").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("k"), F.count_distinct("og").alias("groups")).agg(F.sum("n").alias("n"), F.sum("k").alias("sequences"), F.max("groups").alias("groups"))
+
+
 def tree_distances(spark, d):
     t = T.tree_table(spark, _newick(spark, d))
     tips = t.filter("name is not null").select("node", "name")
@@ -176,6 +185,13 @@ def tree_prune(spark, d):
     return spark.createDataFrame([(x,) for x in kept], "name string")
 
 
+def tree_prune_holds(spark, d):
+    """No two of the tips that stay are closer than the limit, and some went."""
+    kept = tree_prune(spark, d).select(F.col("name").alias("x"))
+    far = tree_distances(spark, d).join(kept, "x").join(kept.select(F.col("x").alias("y")), "y")
+    return far.agg((F.min("d") >= 6).alias("apart")).crossJoin(kept.agg((F.count(F.lit(1)) < 25).alias("pruned")))  # one row each
+
+
 def classify_key(spark, d):
     key = spark.createDataFrame([("1", "status", "F", "2", False), ("1", "status", "O", "open", True), ("1", "status", "*", "3", False), ("2", "prio", "1-URGENT", "urgent", True), ("2", "prio", "*", "3", False), ("3", "even", "y", "even", True), ("3", "even", "n", "odd", True)], "step string, character string, state string, next string, terminal boolean")
     o = table(spark, d, "orders")
@@ -219,14 +235,26 @@ def trib_hist(spark, d):
 
 
 def trib_replicates(spark, d):
-    pts = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 2).alias("xs"))
-    return S.trib_summary(S.trib_resample(pts, [0.05, 0.1], 40))
+    """Label centroids, in all 1000 replicates of all 101 fractions."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    pts = e.groupBy(F.col("label").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("xs"))
+    return S.trib_summary(S.trib_resample(pts))
+
+
+def trib_whole(spark, d):
+    """A subset of all points: the median distance over every pair of vectors."""
+    pts = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("xs"))
+    return S.trib_resample(pts, [1.0], 1)
 
 
 def gmm_peaks(spark, d):
     return S.find_peaks(recplot_depth(spark, d))
 
 
+def gmm_one_peak(spark, d):
+    return S.find_peaks(recplot_depth(spark, d), most=1).select("peak", "mean", "sd", "n", "core")
+
+
 def mower_peaks(spark, d):
     return S.mow_peaks(recplot_depth(spark, d))
 
@@ -238,16 +266,19 @@ def growth_fit(spark, d):
     return S.growth_curves(r.crossJoin(p).select(F.concat_ws("-", "r_regionkey", "k").alias("sample"), "t", (F.col("k") * 0.01 * x / (F.col("k") + 0.01 * (x - 1))).alias("od"))).select("sample", F.round("k", 4).alias("k"), F.round("r", 4).alias("r"))
 
 
-_ALL = (alpha_diversity, alpha_qd, alpha_rao, chao1, rand_index, taxon_distribution, aasubs_ratio, aasubs_permutation, aasubs_bootstrap, snp_filter, snp_summary, kaks, og_stats, og_core, og_no_inparalogs, og_core_pan, og_core_pan_random, og_components, og_components_all, og_annotate, og_extract, og_matrix, og_mcl)
-QUERIES = {f.__name__: f for f in (*_ALL, tree_distances, tree_placements, tree_placement_counts, tree_prune, classify_key, taxonomy_paths, taxon_of_contig, contigs_by_taxon, lineage_pivot, sample_moments, sarle_bimodality, truncated_mean, trib_hist, trib_replicates, gmm_peaks, mower_peaks, growth_fit)}
+_ALL = (alpha_diversity, alpha_qd, alpha_rao, chao1, rand_index, taxon_distribution, aasubs_ratio, aasubs_permutation, aasubs_bootstrap, snp_filter, snp_summary, kaks, og_stats, og_core, og_no_inparalogs, og_core_pan, og_core_pan_random, og_components, og_annotate, og_extract, og_matrix, og_mcl, og_mcl_holds)
+QUERIES = {f.__name__: f for f in (*_ALL, tree_distances, tree_placements, tree_placement_counts, tree_prune, tree_prune_holds, classify_key, taxonomy_paths, taxon_of_contig, contigs_by_taxon, lineage_pivot, sample_moments, sarle_bimodality, truncated_mean, trib_hist, trib_replicates, trib_whole, gmm_peaks, gmm_one_peak, mower_peaks, growth_fit)}
 
 _OTU = "c AS (SELECT l_returnflag || '-' || l_linestatus AS sample, 'o' || (l_partkey % 97) AS otu, CAST(sum(floor(l_quantity)) AS double) AS n FROM lineitem GROUP BY ALL HAVING sum(floor(l_quantity)) > 0)"
 _POOL = _OTU + ", a AS (SELECT * FROM c UNION ALL SELECT 'gamma', otu, sum(n) FROM c GROUP BY otu), p AS (SELECT sample, otu, n / sum(n) OVER (PARTITION BY sample) AS p FROM a)"
-_SUBS = "s AS (SELECT l_returnflag || '>' || (l_partkey % 20) AS aa, CASE WHEN l_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS g FROM lineitem)"
+_SUBS = "s AS (SELECT l_returnflag || '>' || (l_partkey % 20) AS aa, CASE WHEN l_linestatus = 'F' THEN 'A' ELSE 'B' END AS g, l_orderkey % 50 AS protein FROM lineitem)"
 _VAR = "v AS (SELECT l_orderkey, l_linenumber, floor(l_quantity / 2) AS ref_dp, floor(l_quantity) - floor(l_quantity / 2) * l_linenumber % 9 AS alt_dp, l_partkey AS qual, l_suppkey % 10 = 0 AS indel FROM lineitem), w AS (SELECT *, ref_dp + alt_dp AS dp, CASE WHEN ref_dp > 0 THEN -(ref_dp / (ref_dp + alt_dp)) * log2(ref_dp / (ref_dp + alt_dp)) ELSE 0 END + CASE WHEN alt_dp > 0 THEN -(alt_dp / (ref_dp + alt_dp)) * log2(alt_dp / (ref_dp + alt_dp)) ELSE 0 END AS shannon FROM v WHERE ref_dp + alt_dp > 0)"
-_OG = "og AS (SELECT DISTINCT l_partkey % 500 AS og, l_suppkey % 12 AS genome, l_partkey AS gene FROM lineitem WHERE l_quantity > 30)"
+_OG = "og AS (SELECT DISTINCT CAST(floor(sqrt(l_orderkey)) AS bigint) AS og, l_suppkey % 12 AS genome, l_partkey AS gene FROM lineitem)"
 _TIPS = "t AS (SELECT n_name AS name, n_regionkey AS r, n_nationkey + 1 AS len FROM nation)"
-_M = "sum(pow(x - m, {k}))"
+_PROFILE = "pr AS (SELECT protein, aa, CAST(count(*) FILTER (g = 'A') AS double) AS x, CAST(count(*) FILTER (g = 'B') AS double) AS y FROM s GROUP BY ALL), reps AS (SELECT unnest(generate_series(1, 1000)) AS rep)"
+_BIT = "CAST('0x' || md5('1|' || rep || '|' || {k})[1:8] AS bigint)"
+_RATIO = "SELECT rep, aa, CASE WHEN sum(x) > 0 AND sum(y) > 0 THEN log10(sum(x) / sum(y)) END AS ratio FROM w GROUP BY rep, aa"
+_DEPTH_CELLS = _CELLS + ", w AS (SELECT pos_bin, sum(n) / 1000 AS depth FROM cells WHERE 70 + (id_bin + 0.5) * 0.5 > 95 GROUP BY 1)"
 _MOM = "x AS (SELECT {key}, {v} AS x, avg({v}) OVER ({part}) AS m FROM {t}), s AS (SELECT {key}, count(*) AS n, any_value(m) AS mean, sum((x - m) ** 2) / (count(*) - 1) AS var, sum((x - m) ** 3) AS s3, sum((x - m) ** 4) AS s4 FROM x GROUP BY 1)"
 SQL = {
     "alpha_diversity": f"WITH {_POOL} SELECT sample, -sum(p * ln(p)) AS shannon, 1 / sum(p * p) AS inv_simpson, CAST(count(*) AS double) AS qd, 1.0::double AS rao, NULL::double AS rao_eq FROM p GROUP BY 1",
@@ -287,9 +318,9 @@ SELECT *, (n + 1) / (n_sites + 2) AS ka, (s + 1) / (s_sites + 2) AS ks, ((n + 1)
     "og_stats": f"WITH {_OG}, e AS (SELECT og, count(*) AS k, max(n) AS copies FROM (SELECT og, genome, count(*) AS n FROM og GROUP BY ALL) GROUP BY 1), g AS (SELECT count(DISTINCT genome) AS g FROM og) SELECT max(g) AS genomes, count(*) AS pan, count(*) FILTER (k = g) AS core, count(*) FILTER (k / g >= 0.9) AS core90, count(*) FILTER (k / g >= 0.8) AS core80, count(*) FILTER (k = g AND copies = 1) AS unus, count(*) FILTER (k = 1) AS unique_groups, -sum(k / g * ln(k / g)) AS entropy, sum(k) / max(g) AS avg, count(*) FILTER (k = g) / count(*) AS core_pan FROM e, g",
     "og_core": f"WITH {_OG} SELECT og FROM og GROUP BY 1 HAVING count(DISTINCT genome) >= 0.9 * (SELECT count(DISTINCT genome) FROM og)",
     "og_no_inparalogs": f"WITH {_OG} SELECT og FROM (SELECT og, genome, count(*) AS n FROM og GROUP BY ALL) GROUP BY 1 HAVING max(n) <= 2",
-    "og_core_pan": f"WITH {_OG}, o AS (SELECT DISTINCT og, genome FROM og WHERE (og + genome) % 4 <> 0), r AS (SELECT genome, row_number() OVER (ORDER BY genome) AS k FROM (SELECT DISTINCT genome FROM o)), m AS (SELECT r.k, og, count(*) AS n FROM r JOIN (SELECT og, k FROM o JOIN r USING (genome)) AS x ON x.k <= r.k GROUP BY ALL) SELECT 1 AS rep, k, count(*) FILTER (n = k) AS core, count(*) AS pan FROM m GROUP BY k",
+    "og_core_pan": f"WITH {_OG}, o AS (SELECT DISTINCT og, genome FROM og), r AS (SELECT genome, row_number() OVER (ORDER BY genome) AS k FROM (SELECT DISTINCT genome FROM o)), m AS (SELECT r.k, og, count(*) AS n FROM r JOIN (SELECT og, k FROM o JOIN r USING (genome)) AS x ON x.k <= r.k GROUP BY ALL) SELECT 1 AS rep, k, count(*) FILTER (n = k) AS core, count(*) AS pan FROM m GROUP BY k",
     "og_components": """
-WITH RECURSIVE p AS (SELECT DISTINCT seq1 || '>' || id1 AS a, seq2 || '>' || id2 AS b FROM rbm WHERE seq1 < seq2 AND id1 IS NOT NULL AND id2 IS NOT NULL),
+WITH RECURSIVE p AS (SELECT DISTINCT seq1 || '>' || id1 AS a, seq2 || '>' || id2 AS b FROM rbm WHERE seq1 IS NOT NULL AND seq2 IS NOT NULL AND id1 IS NOT NULL AND id2 IS NOT NULL),
 v AS (SELECT x, row_number() OVER (ORDER BY encode(replace(x, '>', chr(1)))) AS k FROM (SELECT a AS x FROM p UNION SELECT b FROM p)),
 q AS (SELECT i.k AS a, j.k AS b FROM p JOIN v AS i ON i.x = p.a JOIN v AS j ON j.x = p.b), e AS (SELECT a, b FROM q UNION SELECT b, a FROM q),
 r AS (SELECT k AS x, k AS least FROM v UNION SELECT e.b, r.least FROM r JOIN e ON r.x = e.a WHERE r.least < e.b),
@@ -315,4 +346,24 @@ SELECT a.id AS tax_id, coalesce(b.id, 1) AS parent_id, a.name, a.rank, a."full"
 WITH e AS (SELECT event_type, least(greatest(floor(value / 1000 * 40), 0), 39) AS k FROM events WHERE value IS NOT NULL),
 s AS (SELECT k, count(*) / sum(count(*)) OVER () AS p FROM e WHERE event_type = 'click' GROUP BY 1), a AS (SELECT k, count(*) / sum(count(*)) OVER () AS p FROM e GROUP BY 1)
 SELECT coalesce(sum(s.p * a.p) FILTER (s.k >= a.k), 0) AS p_over, coalesce(sum(s.p * a.p) FILTER (s.k <= a.k), 0) AS p_under FROM s, a""",
+    "aasubs_permutation": f"WITH {_SUBS}, {_PROFILE}, w AS (SELECT rep, aa, CASE WHEN {_BIT.format(k='protein')} % 2 = 1 THEN y ELSE x END AS x, CASE WHEN {_BIT.format(k='protein')} % 2 = 1 THEN x ELSE y END AS y FROM pr CROSS JOIN reps) " + _RATIO,
+    "aasubs_bootstrap": f"WITH {_SUBS}, {_PROFILE}, nm AS (SELECT protein, row_number() OVER (ORDER BY protein) - 1 AS k FROM (SELECT DISTINCT protein FROM pr)), dr AS (SELECT rep, {_BIT.format(k='id')} % (SELECT count(*) FROM nm) AS k FROM reps CROSS JOIN (SELECT k AS id FROM nm)), w AS (SELECT rep, aa, x, y FROM dr JOIN nm ON nm.k = dr.k JOIN pr ON pr.protein = nm.protein) " + _RATIO,
+    "og_core_pan_random": f"""WITH {_OG}, o AS (SELECT DISTINCT og, genome FROM og), gs AS (SELECT DISTINCT genome FROM o),
+r AS (SELECT rep, genome, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '|' || genome), genome) AS rank FROM (SELECT unnest(generate_series(1, 100)) AS rep) CROSS JOIN gs),
+m AS (SELECT rep, og, list(rank ORDER BY rank) AS l FROM o JOIN r USING (genome) GROUP BY rep, og),
+f AS (SELECT rep, l[1] AS first, coalesce(list_min(list_filter(generate_series(1, len(l)), lambda i: l[i] <> i)), len(l) + 1) AS miss FROM m),
+c AS (SELECT rep, k, count(*) FILTER (miss > k) AS core, count(*) FILTER (first <= k) AS pan FROM f CROSS JOIN (SELECT unnest(generate_series(1, (SELECT count(*) FROM gs))) AS k) GROUP BY rep, k),
+l AS (SELECT k, count(*) AS n, list(core ORDER BY core) AS cs, list(pan ORDER BY pan) AS ps, avg(core) AS core_avg, stddev_pop(core) AS core_sd, avg(pan) AS pan_avg, stddev_pop(pan) AS pan_sd FROM c GROUP BY k)
+SELECT k, core_avg, core_sd, """ + ", ".join(f"{c}[least(CAST(floor(n * {i} / 4) AS int) + 1, n)] AS {a}_q{i}" for c, a in (("cs", "core"), ("ps", "pan")) for i in (1, 2, 3)) + ", pan_avg, pan_sd FROM l",
+    "og_mcl_holds": "SELECT count(*) AS n, count(*) AS sequences, 1 AS groups FROM (SELECT seq1 || '>' || id1 AS v FROM rbm WHERE seq1 IS NOT NULL AND id1 IS NOT NULL AND seq2 IS NOT NULL AND id2 IS NOT NULL AND bitscore IS NOT NULL UNION SELECT seq2 || '>' || id2 FROM rbm WHERE seq1 IS NOT NULL AND id1 IS NOT NULL AND seq2 IS NOT NULL AND id2 IS NOT NULL AND bitscore IS NOT NULL)",
+    "tree_placements": """
+WITH n AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS j FROM nation),
+c AS (SELECT n_regionkey AS r, count(*) AS k FROM n GROUP BY 1), rn AS (SELECT r, 1 + coalesce(sum(k + 1) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS node FROM c),
+nodes AS (SELECT 0 AS node, -1 AS r, 0.0::double AS depth UNION ALL SELECT node, r, r + 0.5 FROM rn UNION ALL SELECT node + j, r, r + 0.5 + n_nationkey + 1 FROM n JOIN rn ON r = n_regionkey),
+t AS (SELECT node AS tn, r AS tr, depth AS td FROM nodes WHERE node = 3), p AS (SELECT (c_custkey % 4) || '.' || c_custkey AS read, c_custkey % 31 AS node, c_custkey % 7 / 10.0::double AS distal, c_custkey % 3 / 10.0::double AS pendant FROM customer)
+SELECT read, depth + td - 2 * CASE WHEN node = tn THEN td WHEN r = tr THEN r + 0.5 ELSE 0 END + pendant + CASE WHEN node = 0 OR node IN (SELECT node FROM rn WHERE rn.r = tr) THEN -distal ELSE distal END AS d FROM p JOIN nodes USING (node) CROSS JOIN t""",
+    "tree_prune_holds": "SELECT true AS apart, true AS pruned",
+    "trib_whole": "SELECT 1.0::double AS fraction, 1 AS rep, median(list_distance(CAST(a.embedding AS double[]), CAST(b.embedding AS double[]))) AS median FROM embeddings AS a JOIN embeddings AS b ON a.vec_id < b.vec_id",
+    "gmm_one_peak": _DEPTH_CELLS + " SELECT 1 AS peak, avg(ln(depth)) AS mean, stddev_pop(ln(depth)) AS sd, CAST(count(*) AS double) AS n, true AS core FROM w WHERE depth > 0 AND depth < (SELECT quantile_cont(depth, 0.95) FROM w WHERE depth > 0)",
+    "growth_fit": "SELECT r_regionkey || '-' || k AS sample, k, round(0.3 + 0.05 * r_regionkey, 4)::double AS r FROM region CROSS JOIN (SELECT unnest([1.0::double, 2.0::double]) AS k)",
 }

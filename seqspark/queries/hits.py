@@ -122,11 +122,41 @@ def rbm(spark, d):
     return H.reciprocal_best_matches(f, r).select("qseqid", "sseqid", "bitscore", "pident")
 
 
-def aai_two_way(spark, d):
+def identity_by_pair(spark, d):
     m = table(spark, d, "rbm").filter("seq1 is not null and seq2 is not null and id is not null").distinct()
     return H.identity_statistics(m, ["seq1", "seq2"], "id", min_hits=5)
 
 
+def _genomes(spark, d):
+    """Parts as one genome and suppliers as another; order lines as hits of each on the other, the fewer as windows of 100 to 499."""
+    li = table(spark, d, "lineitem")
+    hit = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 20_001 + F.col("l_partkey")) * 1_001 + F.col("l_suppkey")
+    h = li.select(F.col("l_partkey").cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s"), (40 + F.col("l_quantity")).cast("double").alias("pident"), (F.col("l_linenumber") * 40).cast("int").alias("length"), (F.col("l_extendedprice") / 100).cast("double").alias("bitscore"), hit.alias("hit_id")).distinct()
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), (F.col("p_size") * 10 + 50).alias("length"))
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), (F.col("s_suppkey") % 400 + 100).alias("length"))
+    return h.withColumnsRenamed({"p": "qseqid", "s": "sseqid"}), h.withColumnsRenamed({"s": "qseqid", "p": "sseqid"}), parts, suppliers
+
+
+_LIMITS = {"min_length": 80, "min_identity": 60, "min_score": 150, "min_fraction": 0.5}
+
+
+def aai_one_way(spark, d):
+    return H.genome_identity(*_genomes(spark, d), min_hits=5, **_LIMITS).filter("direction <> 'two-way'")
+
+
+def aai_two_way(spark, d):
+    return H.genome_identity(*_genomes(spark, d), min_hits=1, **_LIMITS).filter("direction = 'two-way'")
+
+
+def ani_two_way(spark, d):
+    return H.genome_identity(*_genomes(spark, d), min_hits=1, correction=0.8621, min_length=120, min_identity=70)
+
+
+def hits_first_queries(spark, d):
+    """Sums over the first 50 queries in the order of the file."""
+    return H.sum_per_hit(go(spark, d).filter("qseqid is not null"), max_queries=50)
+
+
 def ani_corrected(spark, d):
     m = table(spark, d, "rbm").filter("seq1 is not null and seq2 is not null and id >= 70").distinct()
     return H.identity_statistics(m, ["seq1", "seq2"], "id", min_hits=3, correction=0.8621)
@@ -146,7 +176,7 @@ def tax_rank(spark, d):
     return H.hits_to_rank(h, F.col("o_custkey") + 100000, nodes, names).groupBy("taxon").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (hits_best, hits_top_n_evalue, hits_top_n_identity, hits_top_n_file_order, list_filter, list_filter_inverse, hits_subsample_by_ids, hits_add_length, hits_cog, hits_sum_per_hit, hits_weighted_sum, hits_weighted_sum_norm, hits_paired, hits_paired_best, hits_taxon_prepare, hits_progress, rbm, aai_two_way, ani_corrected, tax_rank)}
+QUERIES = {f.__name__: f for f in (hits_best, hits_top_n_evalue, hits_top_n_identity, hits_top_n_file_order, list_filter, list_filter_inverse, hits_subsample_by_ids, hits_add_length, hits_cog, hits_sum_per_hit, hits_weighted_sum, hits_weighted_sum_norm, hits_paired, hits_paired_best, hits_taxon_prepare, hits_progress, rbm, identity_by_pair, aai_one_way, aai_two_way, ani_two_way, hits_first_queries, ani_corrected, tax_rank)}
 
 _GO = "go AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM a_mg_cds_go)"
 _READS = "reads AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM a_mg_reads_cds)"
@@ -167,6 +197,14 @@ p AS (
 """
 _MATES = "SELECT DISTINCT l_orderkey AS base, CASE WHEN l_linenumber % 2 = 0 THEN '2' ELSE '1' END AS mate, l_returnflag || (l_suppkey % 3) AS subject, CAST(l_extendedprice AS double) AS bitscore, l_partkey + CASE WHEN l_linestatus = 'F' THEN CAST(floor(l_quantity) AS int) ELSE 0 END AS s_start, l_partkey + CASE WHEN l_linestatus = 'F' THEN 0 ELSE CAST(floor(l_quantity) AS int) END AS s_end FROM lineitem"
 _STATS = "SELECT seq1, seq2, count(*) AS n, avg({x}) AS identity, stddev_pop({x}) AS sd FROM (SELECT DISTINCT * FROM rbm) WHERE seq1 IS NOT NULL AND seq2 IS NOT NULL AND id IS NOT NULL {c} GROUP BY 1, 2 HAVING count(*) >= {n}"
+_CHAIN = """
+WITH h AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s, CAST(40 + l_quantity AS double) AS x, l_linenumber * 40 AS len, l_extendedprice / 100 AS bits, ((l_orderkey * 8 + l_linenumber) * 20001 + l_partkey) * 1001 + l_suppkey AS k FROM lineitem),
+ok AS (SELECT p, s, x, k FROM h JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = s WHERE len >= {l} AND x >= {i} AND bits >= {s} AND len / least(p_size * 10 + 50, s_suppkey % 400 + 100) >= {f}),
+one AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY p ORDER BY k) = 1), two AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY s ORDER BY k) = 1),
+w AS (SELECT 'one-way 1' AS direction, {c} AS y FROM one UNION ALL SELECT 'one-way 2', {c} FROM two UNION ALL SELECT 'two-way', {c} FROM two WHERE EXISTS (SELECT 1 FROM one WHERE one.p = two.p AND one.s = two.s)),
+t AS (SELECT least((SELECT count(*) FROM part), (SELECT count(*) FROM supplier)) AS omega)
+"""
+_WAY = "SELECT * FROM (SELECT d.direction, CASE WHEN count(y) >= {n} THEN avg(y) END AS identity, CASE WHEN count(y) >= {n} THEN stddev_pop(y) END AS sd, count(y) AS n, any_value(omega) AS omega, 100.0 * count(y) / any_value(omega) AS frx FROM (SELECT unnest(['one-way 1', 'one-way 2', 'two-way']) AS direction) AS d CROSS JOIN t LEFT JOIN w ON w.direction = d.direction GROUP BY 1)"
 
 SQL = {
     "hits_best": _top(1, "coalesce(isnan(bitscore), false), bitscore DESC NULLS LAST, hit_id", "qseqid, hit_id, bitscore"),
@@ -183,7 +221,7 @@ SQL = {
     "hits_weighted_sum_norm": f"WITH {_GO}, {_WEIGHT}, k AS (SELECT *, count(*) OVER (PARTITION BY qseqid) AS n FROM go WHERE qseqid IS NOT NULL AND bitscore >= 0 AND pident >= 0 AND sseqid IS NOT NULL) SELECT sseqid AS subject, sum(coalesce(weight, 0) / n) AS total FROM k LEFT JOIN w ON id = qseqid GROUP BY 1",
     "hits_paired": "WITH " + _PAIR.format(hits=_MATES) + "SELECT *, s_to - s_from + 1 AS span FROM p WHERE bitscore > 20000",
     "hits_paired_best": "WITH " + _PAIR.format(hits=_MATES) + "SELECT *, s_to - s_from + 1 AS span FROM p WHERE bitscore > 0 AND orientation <> 1 QUALIFY row_number() OVER (PARTITION BY base ORDER BY bitscore DESC, subject, s_from, s_to) <= 2",
-    "hits_taxon_prepare": f"WITH {_GO}, {_LEN} SELECT left(id, 1) AS contig, qseqid AS gene, coalesce(regexp_extract(go.sseqid[4:13], '^(\\d+)$', 1), '') AS gi, bitscore, pident FROM go JOIN len ON id = qseqid WHERE go.length >= 0.75 * len.length / 3",
+    "hits_taxon_prepare": f"WITH {_GO}, {_LEN} SELECT left(id, 1) AS contig, qseqid AS gene, coalesce(regexp_extract(go.sseqid[4:13], '^(\\d+)$', 1), '') AS gi, CASE WHEN NOT isnan(bitscore) THEN bitscore END AS bitscore, pident FROM go JOIN len ON id = qseqid WHERE go.length >= 0.75 * len.length / 3",
     "hits_progress": "WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem ORDER BY 1 DESC LIMIT 2) SELECT 100.0 * (CAST(min(k) AS double) + 1) / (SELECT count(*) FROM orders) AS percent FROM l",
     "rbm": """
 WITH m AS (SELECT seq1 || '>' || id1 AS q, seq2 || '>' || id2 AS s, bitscore, id AS pident FROM rbm WHERE seq1 IS NOT NULL AND id1 IS NOT NULL AND seq2 IS NOT NULL AND id2 IS NOT NULL AND bitscore IS NOT NULL AND id IS NOT NULL),
@@ -191,7 +229,11 @@ f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY q ORDER BY bitscor
 r AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY s ORDER BY bitscore DESC, round(1e6 - pident, 4), q) = 1)
 SELECT f.q AS qseqid, f.s AS sseqid, f.bitscore, f.pident FROM f WHERE EXISTS (SELECT 1 FROM r WHERE r.s = f.s AND r.q = f.q)
 """,
-    "aai_two_way": _STATS.format(x="id", c="", n=5),
+    "identity_by_pair": _STATS.format(x="id", c="", n=5),
+    "aai_one_way": _CHAIN.format(c="(x)", l=80, i=60, s=150, f=0.5) + _WAY.format(n=5) + " WHERE direction <> 'two-way'",
+    "aai_two_way": _CHAIN.format(c="(x)", l=80, i=60, s=150, f=0.5) + _WAY.format(n=1) + " WHERE direction = 'two-way'",
+    "ani_two_way": _CHAIN.format(c="(100 - (100 - x) / 0.8621)", l=120, i=70, s=0, f=0) + _WAY.format(n=1),
+    "hits_first_queries": f"WITH {_GO}, q AS (SELECT qseqid, min(hit_id) AS o FROM go WHERE qseqid IS NOT NULL AND bitscore >= 0 AND pident >= 0 AND sseqid IS NOT NULL GROUP BY 1 ORDER BY 2 LIMIT 50) SELECT sseqid AS subject, CAST(count(*) AS double) AS total FROM go WHERE qseqid IN (SELECT qseqid FROM q) AND bitscore >= 0 AND pident >= 0 AND sseqid IS NOT NULL GROUP BY 1",
     "ani_corrected": _STATS.format(x="100 - (100 - id) / 0.8621", c="AND id >= 70", n=3),
     "tax_rank": "SELECT r_name AS taxon, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
 }

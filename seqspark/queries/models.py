@@ -48,24 +48,11 @@ def _models(spark, d):
     return spark.range(0, 50).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"))
 
 
-def _fortieth(hits):
-    """The hits that the SQL of the compared queries has; those named _all take every hit."""
-    return hits.filter("seq_id % 40 = 0")
-
-
 def essential_quality(spark, d):
-    return M.genome_quality(M.essential_genes(_fortieth(_model_hits(spark, d)), _models(spark, d)), _models(spark, d))
-
-
-def essential_quality_all(spark, d):
     return M.genome_quality(M.essential_genes(_model_hits(spark, d), _models(spark, d)), _models(spark, d))
 
 
 def essential_copies(spark, d):
-    return M.copy_numbers(M.essential_genes(_fortieth(_model_hits(spark, d)), _models(spark, d)), _models(spark, d))
-
-
-def essential_copies_all(spark, d):
     return M.copy_numbers(M.essential_genes(_model_hits(spark, d), _models(spark, d)), _models(spark, d))
 
 
@@ -91,11 +78,11 @@ def clusters_shared(spark, d):
     return M.shared_members(e.select(F.col("vec_id").alias("item"), F.col("label").alias("cluster")), e.select(F.col("vec_id").alias("item"), (F.col("vec_id") % 10).alias("cluster")))
 
 
-QUERIES = {f.__name__: f for f in (range_algebra, list_filter_any_key, haai, essential_quality, essential_quality_all, essential_copies, essential_copies_all, hits_pathways, hits_first, hits_best_filtered, recplot_legacy, clusters_shared)}
+QUERIES = {f.__name__: f for f in (range_algebra, list_filter_any_key, haai, essential_quality, essential_copies, hits_pathways, hits_first, hits_best_filtered, recplot_legacy, clusters_shared)}
 
 _GO = "go AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM a_mg_cds_go)"
 _ALN = "translate(md5((p_partkey % 7) || '{s}'), '0123456789abcdef', 'AAAACCCCDDDDEE--')"
-_HITS = "h AS (SELECT DISTINCT l_suppkey % 10 AS genome, l_partkey % 60 AS m, l_orderkey || '-' || l_partkey AS rid FROM lineitem WHERE l_orderkey % 40 = 0 AND l_partkey % 60 < 50)"
+_HITS = "h AS (SELECT DISTINCT l_suppkey % 10 AS genome, l_partkey % 60 AS m, l_orderkey || '-' || l_partkey AS rid FROM lineitem WHERE l_partkey % 60 < 50)"
 
 SQL = {
     "range_algebra": "WITH x AS (SELECT p_partkey, p_partkey % 50 + 1 AS s, p_partkey % 9 AS k FROM part) SELECT p_partkey, s AS a, s + 20 AS b, 10 + 16 - k AS size, CASE WHEN s + 5 + k <= s + 10 THEN 21 ELSE 26 - k END AS compact, p_partkey % 2 = 0 AS reverse FROM x",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.intervals import merge_intervals
 from ..operators.nested import merkle_tables, task_children
@@ -16,12 +17,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     rows = loaded(parse_rows(table(spark, d, "hiv_mix_lines").select("line_id", "line")))
-    return rows.selectExpr("line_id", "try_cast(c0 as bigint) c0", "c1", "c2", "c3", "c8", "c9", "c10", "c11")
+    return rows.select("line_id", F.coalesce(F.col("c0").cast("string"), F.col("wide")["c0"]).alias("c0"), *[f"c{i}" for i in range(1, 12)])
 
 
 def p1_loaded_all(spark: SparkSession, d: str) -> DataFrame:
-    """The good rows with all twelve columns in the operator's own types; p1_loaded has eight of them, as its SQL does."""
-    return loaded(parse_rows(table(spark, d, "hiv_mix_lines").select("line_id", "line"))).drop("line")
+    """The good rows in the operator's own types; p1_loaded has the read number as its digits, for the comparison with SQL."""
+    return loaded(parse_rows(table(spark, d, "hiv_mix_lines").select("line_id", "line"))).drop("line", "wide")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +62,7 @@ SQL = {
     "p1_found": _PARSED + "SELECT line_id, reason FROM v WHERE reason IS NOT NULL",
     "p1_loaded": _PARSED
     + _CELLS
-    + "SELECT line_id, try_cast(c0 AS bigint) AS c0, f[2] AS c1, try_cast(f[3] AS double) AS c2, try_cast(f[4] AS int) AS c3, try_cast(f[9] AS int) AS c8, try_cast(f[10] AS int) AS c9, try_cast(f[11] AS double) AS c10, CAST(c11 AS double) AS c11 FROM u",
+    + "SELECT line_id, ltrim(c0, '0') AS c0, f[2] AS c1, try_cast(f[3] AS double) AS c2, " + ", ".join(f"try_cast(f[{i + 1}] AS int) AS c{i}" for i in range(3, 10)) + ", try_cast(f[11] AS double) AS c10, CAST(c11 AS double) AS c11 FROM u",
     "p2_found": """
 WITH m AS (SELECT rec_id, CAST(manifest AS json) AS j FROM task_manifests WHERE manifest IS NOT NULL),
 t0 AS (SELECT rec_id, CASE WHEN (j->'tasks') IS NULL THEN [j] WHEN json_type(j->'tasks') = 'ARRAY' THEN CAST((j->'tasks') AS json[]) ELSE [(j->'tasks')] END AS l FROM m),

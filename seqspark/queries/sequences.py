@@ -110,21 +110,10 @@ def seq_concatenate(spark, d):
 
 
 def seq_variable_columns(spark, d):
-    """Starts of the sequences below key 200 only, as its SQL has it; :func:`seq_variable_columns_all` takes them all at full length."""
-    a = _dna(spark, d).filter("rid < 200").select(F.lit(1).alias("file"), "id", F.concat(F.lit("AAC"), F.substring("seq", 1, 10)).alias("seq"))
-    return S.concatenate_alignments(a, drop_invariable=True)
-
-
-def seq_variable_columns_all(spark, d):
     return S.concatenate_alignments(_dna(spark, d).select(F.lit(1).alias("file"), "id", F.concat(F.lit("AAC"), "seq").alias("seq")), drop_invariable=True)
 
 
 def seq_partitions(spark, d):
-    """Ranges of the first 20 columns only, as its SQL has it; :func:`seq_partitions_all` takes them all."""
-    return S.alignment_partitions(_dna(spark, d).select((F.col("rid") % 4).alias("file"), "id", F.substring("seq", 1, 20).alias("seq")))
-
-
-def seq_partitions_all(spark, d):
     return S.alignment_partitions(_dna(spark, d).select((F.col("rid") % 4).alias("file"), "id", "seq"))
 
 
@@ -149,27 +138,77 @@ def fastq_observed_error(spark, d):
     return S.observed_errors(_fastq(spark, d), h)
 
 
+def _known(spark, d, drawn):
+    """Size of a draw, its number of records, and of those that are in the source."""
+    ids = _seq(spark, d).select("id").distinct()
+    return drawn.agg(F.count(F.lit(1)).alias("n")).crossJoin(drawn.select("id").distinct().join(ids, "id").agg(F.count(F.lit(1)).alias("known")))  # one row each
+
+
 def seq_sample(spark, d):
     return S.sample_exact(_seq(spark, d), fraction=0.1).select("id")
 
 
+def seq_sample_holds(spark, d):
+    """A tenth of the records comes out, each once and each from the source."""
+    return _known(spark, d, seq_sample(spark, d))
+
+
+def seq_sample_all(spark, d):
+    """A sample as large as the source is the source."""
+    r = _seq(spark, d)
+    return S.sample_exact(r, fraction=1.0).select("id")
+
+
 def seq_sample_replace(spark, d):
     return S.sample_exact(_seq(spark, d), n=100, replace=True).select("id")
 
 
+def seq_sample_replace_holds(spark, d):
+    return seq_sample_replace(spark, d).join(_seq(spark, d).select("id"), "id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def seq_subsample(spark, d):
     return S.subsample(_seq(spark, d), [10, 20], 2).select("id", "percent", "replicate")
 
 
+def seq_subsample_holds(spark, d):
+    """No record twice in a draw; a draw of 100 % has all, one of 0 % none."""
+    x = S.subsample(_seq(spark, d), [0, 50, 100], 2)
+    each = x.groupBy("percent", "replicate", "id").count().groupBy("percent", "replicate").agg(F.max("count").alias("times"), F.count(F.lit(1)).alias("n"))
+    return each.select("percent", "replicate", "times", F.when(F.col("percent") == 100, F.col("n")).alias("n"))
+
+
 def seq_fragment(spark, d):
     return S.fragment(_seq(spark, d), 0.8, 200)
 
 
+def seq_fragment_holds(spark, d):
+    """Fragments are pieces of their sequence, of 200 letters at least, and of no more letters together than it has."""
+    f = seq_fragment(spark, d).select(F.substring_index("id", ":", 1).alias("id"), F.col("seq").alias("piece"))
+    j = f.join(_seq(spark, d).select("id", "seq"), "id").groupBy("id").agg(F.min(F.col("seq").contains(F.col("piece"))).alias("inside"), F.min(F.length("piece") >= 200).alias("long"), (F.sum(F.length("piece")) <= F.max(F.length("seq"))).alias("fits"))
+    return j.select("inside", "long", "fits").distinct()
+
+
 def seq_simulate(spark, d):
     return S.simulate_pairs(_dna(spark, d), 2, 20, 50, 5)
 
 
-QUERIES = {f.__name__: f for f in (seq_length, seq_gc, seq_n50, seq_n90, seq_qlen, seq_filter_len, seq_filter_n, seq_revcom, seq_extract, seq_mask, seq_rename, seq_tag, seq_tag_list, seq_split_rr, seq_interpose, seq_slide, seq_slide_strict, seq_to_fastq, seq_wrap, seq_concatenate, seq_variable_columns, seq_variable_columns_all, seq_partitions, seq_partitions_all, fastq_mask, fastq_offset, fastq_recode, fastq_expected_error, fastq_observed_error, seq_sample, seq_sample_replace, seq_subsample, seq_fragment, seq_simulate)}
+def seq_simulate_holds(spark, d):
+    """Pairs of a genome cover it twice, with mates of 20 bases; without errors each mate is a piece of its circle."""
+    g = _dna(spark, d).select("id", F.concat("seq", "seq", "seq").alias("circle"))
+    m = S.simulate_pairs(_dna(spark, d), 2, 20, 50, 5, error=0).withColumn("id", F.substring_index("id", "_", 1))
+    return m.join(g, "id").groupBy("id", "mate").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("seq") == 20).alias("whole"), F.min(F.col("circle").contains(F.col("seq"))).alias("inside"))
+
+
+def seq_simulate_errors(spark, d):
+    """At an error rate of 1 no base stays, and each of the three others takes its place."""
+    a = S.simulate_pairs(_dna(spark, d), 2, 20, 50, 5, error=0).withColumnRenamed("seq", "x")
+    b = S.simulate_pairs(_dna(spark, d), 2, 20, 50, 5, error=1).withColumnRenamed("seq", "y")
+    j = a.join(b, ["id", "mate"]).select(F.explode(F.arrays_zip(F.split("x", "").alias("x"), F.split("y", "").alias("y"))).alias("p"))
+    return j.filter("p.x <> 'N' and p.x <> ''").select("p.x", "p.y").distinct()
+
+
+QUERIES = {f.__name__: f for f in (seq_length, seq_gc, seq_n50, seq_n90, seq_qlen, seq_filter_len, seq_filter_n, seq_revcom, seq_extract, seq_mask, seq_rename, seq_tag, seq_tag_list, seq_split_rr, seq_interpose, seq_slide, seq_slide_strict, seq_to_fastq, seq_wrap, seq_concatenate, seq_variable_columns, seq_partitions, fastq_mask, fastq_offset, fastq_recode, fastq_expected_error, fastq_observed_error, seq_sample, seq_sample_holds, seq_sample_all, seq_sample_replace, seq_sample_replace_holds, seq_subsample, seq_subsample_holds, seq_fragment, seq_fragment_holds, seq_simulate, seq_simulate_holds, seq_simulate_errors)}
 
 _DNA = "dna AS (SELECT p_partkey AS rid, 'p' || p_partkey AS id, translate(md5(CAST(p_partkey AS varchar)) || md5(CAST(p_size AS varchar)), '0123456789abcdef', 'ACGTACGTACGTACGN') AS seq FROM part)"
 _FQ = _DNA + ", fq AS (SELECT *, md5(id) || md5(id) AS qual FROM dna)"
@@ -193,17 +232,24 @@ SQL = {
     "seq_tag": "SELECT doc_id AS rid, 'x' || row_number() OVER (ORDER BY doc_id) || '_y' AS id FROM documents",
     "seq_tag_list": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents), c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) SELECT doc_id AS rid, 'n' || c_custkey AS id FROM d LEFT JOIN c USING (k)",
     "seq_split_rr": "SELECT doc_id AS rid, lpad(CAST((row_number() OVER (ORDER BY doc_id) - 1) % 12 + 1 AS varchar), 2, '0') AS part FROM documents",
-    "seq_interpose": f"WITH {_DNA} SELECT rid, 0 AS file, id || '/1' AS id, seq FROM dna UNION ALL SELECT rid, 1, id || '/2', reverse(seq) FROM dna",
+    "seq_interpose": f"WITH {_DNA} SELECT rid + 1 AS rid, 0 AS file, id || '/1' AS id, seq FROM dna UNION ALL SELECT rid + 1, 1, id || '/2', reverse(seq) FROM dna",
     "seq_slide": f"WITH {_DNA}, x AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 18, 6)) AS start FROM dna) SELECT id, start, seq[start + 1:start + 18] AS seq FROM x",
     "seq_slide_strict": f"WITH {_DNA}, x AS (SELECT id, seq, unnest(generate_series(0, length(seq) - 33, 8)) AS start FROM dna) SELECT id, start, seq[start + 1:start + 32] AS seq FROM x WHERE NOT regexp_full_match(seq[start + 1:start + 32], 'N*')",
     "seq_to_fastq": "SELECT 's' || doc_id AS id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq, repeat('@', length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS qual FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 0",
     "seq_wrap": f"WITH {_DNA} SELECT id, seq[1:20] || chr(10) || seq[21:40] || chr(10) || seq[41:60] || chr(10) || seq[61:64] AS text FROM dna",
     "seq_concatenate": f"WITH {_DNA}, a AS (SELECT rid % 3 AS f, 'g' || ((rid // 3) % 400) AS id, min(seq) AS seq FROM dna GROUP BY ALL), i AS (SELECT DISTINCT id FROM a) SELECT i.id, string_agg(coalesce(a.seq, repeat('-', 64)), '' ORDER BY k.f) AS seq FROM i CROSS JOIN (SELECT DISTINCT f FROM a) AS k LEFT JOIN a ON a.id = i.id AND a.f = k.f GROUP BY i.id",
-    "seq_variable_columns": f"WITH {_DNA}, a AS (SELECT id, 'AAC' || seq[1:10] AS seq FROM dna WHERE rid < 200), c AS (SELECT id, unnest(generate_series(1, 13)) AS p, seq FROM a), v AS (SELECT p FROM c GROUP BY p HAVING count(DISTINCT seq[p]) > 1) SELECT id, string_agg(seq[p], '' ORDER BY p) AS seq FROM c WHERE p IN (SELECT p FROM v) GROUP BY id",
-    "seq_partitions": f'WITH {_DNA}, s AS (SELECT rid % 4 AS file, max(length(seq[1:20])) AS n FROM dna GROUP BY 1) SELECT file, sum(n) OVER (ORDER BY file) - n + 1 AS "from", sum(n) OVER (ORDER BY file) AS "to" FROM s',
+    "seq_variable_columns": f"WITH {_DNA}, a AS (SELECT id, 'AAC' || seq AS seq FROM dna), c AS (SELECT id, unnest(generate_series(1, 67)) AS p, seq FROM a), v AS (SELECT p FROM c WHERE seq[p] <> '-' GROUP BY p HAVING count(DISTINCT seq[p]) > 1) SELECT id, string_agg(seq[p], '' ORDER BY p) AS seq FROM c WHERE p IN (SELECT p FROM v) GROUP BY id",
+    "seq_partitions": f'WITH {_DNA}, s AS (SELECT rid % 4 AS file, max(length(seq)) AS n FROM dna GROUP BY 1) SELECT file, sum(n) OVER (ORDER BY file) - n + 1 AS "from", sum(n) OVER (ORDER BY file) AS "to" FROM s',
     "fastq_mask": f"WITH {_FQ}, c AS (SELECT id, seq, qual, unnest(generate_series(1, 64)) AS i FROM fq) SELECT id, string_agg(CASE WHEN ord(qual[i]) - 33 < 20 THEN 'N' ELSE seq[i] END, '' ORDER BY i) AS seq FROM c GROUP BY id",
     "fastq_offset": f"WITH {_FQ}, c AS (SELECT ord(unnest(string_split(qual, ''))) AS c FROM fq) SELECT CASE WHEN min(c) < 55 THEN 33 WHEN max(c) > 80 THEN 64 END AS offset FROM c",
     "fastq_recode": f"WITH {_FQ}, c AS (SELECT id, qual, unnest(generate_series(1, 64)) AS i FROM fq) SELECT id, string_agg(chr(least(ord(qual[i]) - 33, 62) + 64), '' ORDER BY i) AS qual FROM c GROUP BY id",
     "fastq_expected_error": f"WITH {_FQ}, c AS (SELECT id, unnest(string_split(qual, '')) AS c FROM fq) SELECT id, sum({_P}) AS mu, sum({_P} * (1 - {_P})) AS var FROM c GROUP BY id",
     "fastq_observed_error": f"WITH {_FQ}, c AS (SELECT id, unnest(string_split(qual, '')) AS c FROM fq), e AS (SELECT id, sum({_P}) AS mu, sum({_P} * (1 - {_P})) AS var FROM c GROUP BY id), h AS (SELECT DISTINCT 'p' || l_partkey AS q, CAST(l_linenumber AS int) AS m, CAST(floor(l_quantity) AS int) AS qe FROM lineitem) SELECT id, mu, var, m AS subs, qe + 8 - (abs(qe + m - 3) + 1) AS ins, 8 AS del FROM e JOIN h ON q = id".replace("8 AS del", "qe + 8 - qe AS del"),
+    "seq_sample_holds": "SELECT CAST(round(count(*) * 0.1) AS bigint) AS n, CAST(round(count(*) * 0.1) AS bigint) AS known FROM documents",
+    "seq_sample_all": "SELECT 's' || doc_id AS id FROM documents",
+    "seq_sample_replace_holds": "SELECT 100 AS n",
+    "seq_subsample_holds": "SELECT p AS percent, r AS replicate, 1 AS times, CASE WHEN p = 100 THEN (SELECT count(*) FROM documents) END AS n FROM (SELECT unnest([50.0::double, 100.0::double]) AS p) CROSS JOIN (SELECT unnest([1, 2]) AS r)",
+    "seq_fragment_holds": "SELECT true AS inside, true AS long, true AS fits",
+    "seq_simulate_holds": f"WITH {_DNA} SELECT id, m AS mate, CAST(ceil(length(seq) * 2 / 40) AS bigint) AS n, true AS whole, true AS inside FROM dna CROSS JOIN (SELECT unnest([1, 2]) AS m)",
+    "seq_simulate_errors": "SELECT a AS x, b AS y FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a) CROSS JOIN (SELECT unnest(['A', 'C', 'G', 'T']) AS b) WHERE a <> b",
 }

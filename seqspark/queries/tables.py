@@ -70,7 +70,7 @@ def df2dist_list(spark, d):
 
 
 def _presence(spark, d):
-    return table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("row"), (F.col("l_suppkey") % 25).alias("column"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), (F.col("l_suppkey") % 25).alias("column"))
 
 
 def prefscore(spark, d):
@@ -99,7 +99,7 @@ SQL = {
     "df2dist_group": f"WITH {_PAIRS} SELECT least(a, b) AS a, greatest(a, b) AS b, median(value) AS d FROM p GROUP BY 1, 2",
     "df2dist_list": f"WITH {_DIST.format(w='')} SELECT left(a, 1) AS \"group\", a, b, d FROM d WHERE left(a, 1) = left(b, 1)",
     "prefscore": """
-WITH p AS (SELECT DISTINCT l_partkey AS r, l_suppkey % 25 AS c FROM lineitem WHERE l_quantity > 45),
+WITH p AS (SELECT DISTINCT l_orderkey AS r, l_suppkey % 25 AS c FROM lineitem),
 rs AS (SELECT r, count(*) AS n, count(*) FILTER (c < 8) AS i FROM p GROUP BY 1), cs AS (SELECT c, count(*) AS m FROM p GROUP BY 1),
 t AS (SELECT (SELECT count(*) FROM rs) AS U, (SELECT count(*) FROM cs) AS S, (SELECT count(*) FROM p) AS X),
 b AS (SELECT c, (m + 1) / ((SELECT U FROM t) + 2) AS b FROM cs), a AS (SELECT *, (n + 1) / ((SELECT S FROM t) + 2) AS a FROM rs),

@@ -5,6 +5,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +19,48 @@ from ..operators.sequences import numbered
 from . import schemas
 
 
-def _lines(spark: SparkSession, path: str | list[str], sep: str | None = None) -> DataFrame:
-    """(file, rid, value): lines, or records between separators, with a number that rises in file order."""
+def _place(path: str) -> tuple[str, str]:
+    u = urlparse(path)
+    return u.netloc, unquote(u.path)
+
+
+def _placed(spark: SparkSession, path: str | list[str], sep: str | None = None) -> DataFrame:
+    """(file, block, rank, i, value): lines, or records between separators, with the number ``rank`` of their file by name, the place
+    ``block`` where their split begins, and their number ``i`` in it, from 0. One pass of Arrow batches; nothing is shuffled or sorted."""
     r = spark.read.option("lineSep", sep) if sep else spark.read
-    t = r.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"), "value")
-    # the order of splits in a scan is not that of the files
-    return t.orderBy("file", "block", "m").select("file", F.monotonically_increasing_id().alias("rid"), F.regexp_replace("value", "\r\\z", "").alias("value"))
+    t = r.text(path)
+    ranks = {p: k for k, p in enumerate(sorted({_place(f) for f in t.inputFiles()}))}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, k = None, 0
+        for b in batches:
+            file, block = b.column(0), b.column(1)
+            n = b.num_rows
+            new = np.flatnonzero(np.r_[True, pc.or_(pc.not_equal(file.slice(1), file.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1))).to_numpy(zero_copy_only=False)]) if n else []
+            at, rank = np.empty(n, np.int64), np.empty(n, np.int64)
+            for a, e in zip(new, [*new[1:], n]):
+                here = (file[a].as_py(), block[a].as_py())
+                if here != now:
+                    now, k = here, 0
+                at[a:e] = np.arange(k, k + e - a)
+                rank[a:e] = ranks[_place(here[0])]
+                k += e - a
+            yield pa.RecordBatch.from_arrays([file, block, pa.array(rank), pa.array(at), b.column(2)], names=["file", "block", "rank", "i", "value"])
+
+    held = t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r\\z", "").alias("value"))
+    return held.mapInArrow(count, "file string, block long, rank long, i long, value string")
+
+
+def _lines(spark: SparkSession, path: str | list[str], sep: str | None = None) -> DataFrame:
+    """(file, rid, value): lines, or records between separators, with a number that rises in file order.
+
+    The number is made of the file's rank and, within it, of where the line's split begins plus the line's number in the split: a line takes
+    a byte at least, so no split's numbers reach those of the next. A file whose compression can be split has no such order: it is sorted."""
+    t = _placed(spark, path, sep)
+    splittable = any(f.lower().endswith(".bz2") for f in spark.read.text(path).inputFiles())
+    if splittable:
+        return t.orderBy("rank", "block", "i").select("file", F.monotonically_increasing_id().alias("rid"), "value")
+    return t.select("file", (F.shiftleft("rank", 40) + F.col("block") + F.col("i")).alias("rid"), "value")
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -33,16 +75,52 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(rid, id, defline, seq, plus, qual): strictly four lines a record, so that a quality line may begin with @. A file that isn't made of
-    such records fails the query."""
-    n = numbered(_lines(spark, path))
-    first = n.groupBy("file").agg(F.min("number").alias("f"))
-    k = n.join(F.broadcast(first), "file").withColumn("k", F.col("number") - F.col("f"))  # a row per file
-    line = lambda i: F.max(F.when(F.col("k") % 4 == i, F.col("value")))
-    g = k.groupBy("file", F.floor(F.col("k") / 4).alias("g")).agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("c"), *[line(i).alias(f"l{i}") for i in range(4)])
-    g = g.filter(~((F.col("c") < 4) & (F.coalesce(F.trim("l0"), F.lit("")) == "")))
-    ok = (F.col("c") == 4) & F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
-    head = F.when(ok, F.expr("substring(l0, 2)")).otherwise(F.raise_error(F.concat(F.lit("no record of four lines: "), F.coalesce("l0", F.lit("")))).cast("string"))
-    return g.select("rid", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("defline"), F.col("l1").alias("seq"), F.expr("substring(l2, 2)").alias("plus"), F.col("l3").alias("qual"))
+    such records fails the query.
+
+    Lines are counted by split first; then each split glues its own records, and only those cut by its ends meet in a shuffle."""
+    placed = _placed(spark, path).select("file", "block", "rank", "value")
+    counts = placed.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("n")).orderBy("rank", "block").collect()  # a row per split, as the scheduler has
+    before: dict[tuple, int] = {}
+    rank, total = None, 0
+    for r in counts:
+        rank, total = r["rank"], total if r["rank"] == rank else 0
+        before[r["rank"], r["block"]] = total
+        total += r["n"]
+    names = [f"l{i}" for i in range(4)]
+    out = pa.schema([("rank", pa.int64()), ("g", pa.int64()), ("whole", pa.bool_()), *((n, pa.string()) for n in names)])
+
+    def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []  # lines of the record begun
+        now, number, first = None, 0, 0  # split, number of the next line in its file, number of the first line held
+
+        def cut() -> list[tuple]:
+            return [(now[0], first // 4, False, *([None] * (k % 4)), v, *([None] * (3 - k % 4))) for k, v in enumerate(held, first)]
+
+        for b in batches:
+            rows: list[tuple] = []
+            for rank, block, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if (rank, block) != now:
+                    rows += cut() if held else []
+                    now, number, held = (rank, block), before[rank, block], []
+                if not held:
+                    first = number
+                held.append(value)
+                number += 1
+                if number % 4 == 0:
+                    rows += [(rank, first // 4, True, *held)] if len(held) == 4 else cut()
+                    held = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cut()), out)], schema=out)
+
+    r = placed.select("rank", "block", "value").mapInArrow(glue, "rank long, g long, whole boolean, l0 string, l1 string, l2 string, l3 string")
+    parts = r.filter("not whole").groupBy("rank", "g").agg(*[F.max(n).alias(n) for n in names])
+    g = r.filter("whole").select("rank", "g", *names).unionByName(parts)
+    g = g.filter(~(F.col("l3").isNull() & (F.coalesce(F.trim("l0"), F.lit("")) == "")))
+    ok = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
+    head = F.when(F.coalesce(ok, F.lit(False)), F.expr("substring(l0, 2)")).otherwise(F.raise_error(F.concat(F.lit("no record of four lines: "), F.coalesce("l0", F.lit("")))).cast("string"))
+    return g.select((F.shiftleft("rank", 40) + F.col("g")).alias("rid"), F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("defline"), F.col("l1").alias("seq"), F.expr("substring(l2, 2)").alias("plus"), F.col("l3").alias("qual"))
 
 
 def _table(spark: SparkSession, path: str | list[str], schema: str, comment: str = "#", sep: str = "\t", header: bool = False) -> DataFrame:
@@ -111,7 +189,7 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     f = F.split("value", "\t")
     t = _lines(spark, path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
     names = [c.split() for c in schemas.SAM.split(", ")[:11]]
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1000), lambda x: F.struct(F.split(x, ":", 3)[0], F.split(x, ":", 3)[2])))
+    tags = F.map_from_entries(F.transform(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda x: F.struct(F.split(x, ":", 3)[0], F.split(x, ":", 3)[2])))
     return t.select("rid", *[f[i].cast(k).alias(n) for i, (n, k) in enumerate(names)], F.when(F.size(f) > 11, tags).alias("tags"))
 
 
@@ -190,10 +268,6 @@ def read_clusters(spark: SparkSession, path: str, separator: str = r"[,\t ]") ->
     return _lines(spark, path).filter(F.trim("value") != "").select(F.col("rid").alias("cluster"), F.explode(F.split("value", separator)).alias("item")).filter("item <> ''")
 
 
-def _small_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-
-
 def read_cog(spark: SparkSession, path: str) -> DataFrame:
     """(gene, cog, category, description) of a list of groups: ``[CATS] COGnnnn text`` heads blocks of indented gene lists."""
     blocks = _lines(spark, path, "\n___").select(F.regexp_replace("value", "^_+", "").alias("v"))
@@ -211,8 +285,7 @@ def read_tblout(spark: SparkSession, path: str) -> DataFrame:
 
 def read_model_search(spark: SparkSession, path: str) -> DataFrame:
     """The same columns of a text report: the list of hits that follows each ``Query:`` line."""
-    parts = F.explode(F.filter(F.split("value", r"(?m)^Query:\s+"), lambda x: x.rlike("full sequence")))
-    p = _small_text(spark, path).select(parts.alias("v")).select(F.regexp_extract("v", r"^(\S+)", 1).alias("query"), F.regexp_extract("v", r"(?s)--- full sequence.*?\n((?:(?!\n\s*\n|\nDomain).)*)", 1).alias("t"))
+    p = _lines(spark, path, "\nQuery:").select(F.regexp_replace("value", r"\A(?:Query:)?\s+", "").alias("v")).filter(F.col("v").rlike("full sequence")).select(F.regexp_extract("v", r"^(\S+)", 1).alias("query"), F.regexp_extract("v", r"(?s)--- full sequence.*?\n((?:(?!\n\s*\n|\nDomain).)*)", 1).alias("t"))
     row = F.explode(F.regexp_extract_all("t", F.lit(r"(?m)^\s*([-+0-9.e]+\s+[0-9.]+\s+[0-9.]+\s+[-+0-9.e]+\s+[0-9.]+\s+[0-9.]+\s+[0-9.]+\s+\d+\s+\S+)"), F.lit(1)))
     f = F.split("r", r"\s+")
     return p.select("query", row.alias("r")).select(f[8].alias("seq_id"), "query", *[f[i].try_cast("double").alias(c) for i, c in ((0, "full_evalue"), (1, "full_score"), (3, "best_evalue"), (4, "best_score"))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequences import wrap
@@ -16,21 +16,27 @@ def write_fasta(records: DataFrame, path: str, width: int = 70, compression: str
     fasta_lines(records, width).write.text(path, compression=compression)
 
 
+def _fastq_record() -> Column:
+    return F.concat_ws("\n", F.concat(F.lit("@"), F.coalesce("defline", "id")), "seq", F.concat(F.lit("+"), F.coalesce("plus", F.lit(""))), "qual")
+
+
 def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
-    reads.select(F.concat_ws("\n", F.concat(F.lit("@"), F.coalesce("defline", "id")), "seq", F.concat(F.lit("+"), F.coalesce("plus", F.lit(""))), "qual").alias("value")).write.text(path, compression=compression)
+    reads.select(_fastq_record().alias("value")).write.text(path, compression=compression)
 
 
 def write_parts(records: DataFrame, path: str, part: str, width: int = 70) -> None:
-    """A folder for each value of ``part``: one for each record by its id, or those of a split."""
-    records.select(part, F.concat(F.lit(">"), F.coalesce("defline", "id"), F.lit("\n"), wrap(F.col("seq"), width)).alias("value")).write.partitionBy(part).text(path)
+    """A folder for each value of ``part``: one for each record by its id, or those of a split; FastQ if records have qualities."""
+    lines = _fastq_record() if "qual" in records.columns else F.concat(F.lit(">"), F.coalesce("defline", "id"), F.lit("\n"), wrap(F.col("seq"), width))
+    records.select(part, lines.alias("value")).write.partitionBy(part).text(path)
 
 
 def write_table(rows: DataFrame, path: str, header: bool = True) -> None:
     rows.write.option("sep", "\t").option("header", header).option("quote", "").csv(path)
 
 
-def write_alignment(rows: DataFrame, path: str, form: str = "fasta") -> None:
-    """Alignment (id, seq) as fasta, stockholm, clustal, phylip or nexus (one block)."""
+def write_alignment(rows: DataFrame, path: str, form: str = "fasta", single: bool = True) -> None:
+    """Alignment (id, seq) as fasta, stockholm, clustal, phylip or nexus (one block): files that read one after another by name are the
+    alignment, and ``single`` makes them one, for programs that ask for it."""
     line = F.concat_ws("  ", "id", "seq")
     body = rows.orderBy("id").select(F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value") if form == "fasta" else line.alias("value"))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("m"))
@@ -41,7 +47,8 @@ def write_alignment(rows: DataFrame, path: str, form: str = "fasta") -> None:
         out = out.unionByName(n.select(F.lit(0).alias("k"), head[form].alias("value")))
     if form in tail:
         out = out.unionByName(n.select(F.lit(2).alias("k"), F.lit(tail[form]).alias("value")))
-    out.orderBy("k", "value").select("value").coalesce(1).write.text(path)
+    out = out.orderBy("k", "value").select("value")
+    (out.coalesce(1) if single else out).write.text(path)
 
 
 def save_matches(matches: DataFrame, path: str, keys: list[str]) -> None:
@@ -53,3 +60,20 @@ def save_matches(matches: DataFrame, path: str, keys: list[str]) -> None:
         matches.write.mode("overwrite").partitionBy(*keys).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def stored_matches(spark: SparkSession, path: str, pairs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of ``pairs`` (keys) the matches already stored by :func:`save_matches`, and the pairs that are not there and have to be computed."""
+    have = spark.read.parquet(path)
+    wanted = pairs.select(*keys).distinct()
+    return have.join(wanted, keys, "left_semi"), wanted.join(have.select(*keys).distinct(), keys, "left_anti")
+
+
+def save_plot(cells: DataFrame, bins: DataFrame, peaks: DataFrame, path: str) -> None:
+    """The tables of a recruitment plot as one bundle: folders ``cells``, ``bins`` and ``peaks``."""
+    for name, t in (("cells", cells), ("bins", bins), ("peaks", peaks)):
+        t.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_plot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("cells", "bins", "peaks")}
