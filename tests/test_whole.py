@@ -33,7 +33,7 @@ def test_groups_hang_on_matches_of_either_direction(spark):
         a, b = sorted((top(a), top(b)))
         up[b] = a
     assert any(a > b for a, b in pairs) and any(a[0] == b[0] and a != b for a, b in pairs)
-    got = GROUPS["og_components_all"](spark, FOLDER).collect()
+    got = GROUPS["og_components"](spark, FOLDER).collect()
     assert sorted((r["og"], r["genome"], r["gene"]) for r in got) == sorted((">".join(top(v)), *v) for v in up)
 
 
@@ -48,9 +48,9 @@ def test_models_count_every_hit(spark):
     for genome, found in genomes.items():
         complete, more = 2.0 * len(set(found)), 2.0 * (len(found) - len(set(found)))
         want[genome] = pytest.approx((complete, more, complete - 5 * more))
-    got = MODELS["essential_quality_all"](spark, FOLDER).collect()
+    got = MODELS["essential_quality"](spark, FOLDER).collect()
     assert {r["genome"]: (r["completeness"], r["contamination"], r["quality"]) for r in got} == want
-    got = MODELS["essential_copies_all"](spark, FOLDER).first()
+    got = MODELS["essential_copies"](spark, FOLDER).first()
     assert tuple(got) == pytest.approx((mean(models.values()), median(models.values()), sum(n > 0 for n in models.values())))
 
 
@@ -58,10 +58,10 @@ def test_alignments_are_whole(spark):
     base = str.maketrans("0123456789abcdef", "ACGTACGTACGTACGN")
     seqs = {f"p{k}": "AAC" + s.translate(base) for k, s in read("SELECT p_partkey, md5(CAST(p_partkey AS varchar)) || md5(CAST(p_size AS varchar)) FROM {part}")}
     keep = [i for i in range(67) if len({s[i] for s in seqs.values()}) > 1]
-    got = SEQUENCES["seq_variable_columns_all"](spark, FOLDER).collect()
+    got = SEQUENCES["seq_variable_columns"](spark, FOLDER).collect()
     assert len(seqs) == 200 and len(keep) == 64
     assert {r["id"]: r["seq"] for r in got} == {k: "".join(s[i] for i in keep) for k, s in seqs.items()}
-    got = SEQUENCES["seq_partitions_all"](spark, FOLDER).collect()
+    got = SEQUENCES["seq_partitions"](spark, FOLDER).collect()
     assert sorted(map(tuple, got)) == [(i, 64 * i + 1, 64 * i + 64) for i in range(4)]
 
 
