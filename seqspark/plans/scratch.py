@@ -7,10 +7,13 @@ mode only. Everything written is removed when the driver's Python ends.
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,12 @@ def lookup(df: DataFrame, limit_mb: float = 16.0) -> DataFrame:
     return F.broadcast(df) if small_enough(df, limit_mb) else df
 
 
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives ``value`` on any executor, sent once to each; its classes travel along, so nothing need be installed there."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 @atexit.register
 def clean() -> None:
     """Remove what :func:`store` and :func:`fixed` wrote; to be called once results that rest on it are no longer needed."""
