@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import sent, store
 from .mail import texts
 
 _WORD = re.compile(r"[^\W_]+")
@@ -135,6 +136,16 @@ def search(stream: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _taker(read: Callable[[str | None], list[str]], key: T.StructField) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                held = [read(t.as_py()) for t in b.column(1).slice(at, 1000)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), pa.array(held, pa.list_(pa.string()))], names=[key.name, "texts"])
+
+    return take
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", window: int = 12, errors: int = 1, read: Callable[[str | None], list[str]] = texts) -> DataFrame:
     """(doc, item, distance, windows): each document with every item of which a stretch of ``window`` words stands in one of its texts
     with at most ``errors`` words changed, put in or left out; the least distance, and how many places match within the budget.
@@ -145,7 +156,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
 
     Every document is searched as a whole, whatever its length. Items of fewer words than a window match nothing, as do null or empty
     texts and passages. Rows with a null id take part, with that id. Repeated documents or items give a row each. The items, a stated query
-    set, are searched in blocks of bounded size; the corpus is scanned once for each block and never shuffled.
+    set, are searched in blocks of bounded size; messages are taken apart once, their texts scanned once for each block and never shuffled.
     """
     blocks = [items.select(F.col(f"`{item}`").alias("k"), F.col(f"`{passage}`").alias("t"))]
     size = items.agg(F.sum(F.octet_length(F.col(f"`{passage}`")) + 64)).first()[0] or 0
@@ -154,14 +165,17 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
         blocks = [blocks[0].filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i) for i in range(n)]
     out = T.StructType([T.StructField(doc, documents.schema[doc].dataType), T.StructField(item, items.schema[item].dataType), T.StructField("distance", T.IntegerType()), T.StructField("windows", T.IntegerType())])
     corpus = documents.select(F.col(f"`{doc}`"), F.col(f"`{text}`"))
+    parts_of = read
+    if len(blocks) > 1:  # each message is taken apart once; blocks read its texts
+        corpus, parts_of = store(corpus.mapInArrow(_taker(read, out[0]), T.StructType([out[0], T.StructField("texts", T.ArrayType(T.StringType()))])), "texts"), list
     result = None
     for block in blocks:
-        index = documents.sparkSession.sparkContext.broadcast(Pieces([(r["k"], r["t"]) for r in block.collect()], window, errors))
+        index = sent(documents.sparkSession, Pieces([(r["k"], r["t"]) for r in block.collect()], window, errors))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            p, schema = index.value, to_arrow_schema(out)
+            p, schema = index(), to_arrow_schema(out)
             gap = [0] * (p.errors + 1)
             for b in batches:
                 ids = b.column(0)
@@ -172,7 +186,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
                     ends: list[int] = []
                     start = step
                     while step < len(ids) and len(stream) < 400_000:
-                        for t in read(column[step].as_py()):
+                        for t in parts_of(column[step].as_py()):
                             stream += p.encode(t)
                             stream += gap
                         ends.append(len(stream))

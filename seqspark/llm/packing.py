@@ -19,6 +19,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Items that one task packs; more items make more tasks.
 GROUP_ITEMS = 250_000
+#: Fill under which a container's items are tried in the next longer tier.
+LEAST_FILL = 0.97
 
 
 def encoder(path: str):
@@ -73,12 +75,35 @@ class Stock:
         return length, item
 
 
-def pack(items: list[tuple[int, object]], capacities: list[int]) -> list[tuple[int, list[tuple[object, int, int, int]]]]:
+def _fill(stocks: list[Stock], k: int, capacity: int) -> list[tuple[int, list]]:
+    """Containers of tier ``k`` until its stock is empty: each is opened with the tier's longest item and then given the longest that fits,
+    from its own tier or a shorter one, until none fits."""
+    made = []
+    while got := stocks[k].take(capacity):
+        room, held = capacity, []
+        while got:
+            length, (item, piece, first) = got
+            held.append((item, piece, first, length))
+            room -= length
+            got = None
+            best = None
+            for s in range(k, -1, -1):
+                i = bisect_left(stocks[s].lengths, room + 1) - 1
+                if i >= 0 and (best is None or stocks[s].lengths[i] > best[0]):
+                    best = (stocks[s].lengths[i], s)
+            if best:
+                got = stocks[best[1]].take(room)
+        made.append((k, held))
+    return made
+
+
+def pack(items: list[tuple[int, object]], capacities: list[int], least_fill: float = LEAST_FILL) -> list[tuple[int, list[tuple[object, int, int, int]]]]:
     """Containers as (index of the capacity, [(item, piece, first token, tokens)]), for capacities in rising order.
 
     An item goes to the tier of the smallest capacity that takes it whole; one that exceeds the largest is cut into full containers of
-    that capacity and a rest, which is routed like an item. From the longest tier down, each container is opened with the tier's longest
-    item and then given the longest that fits, from its own tier or a shorter one, until none fits (best fit decreasing on the room left).
+    that capacity and a rest, which is routed like an item. Tiers are packed from the longest down, best fit decreasing on the room left,
+    the longer filling their gaps from the shorter. Then, from the shortest tier up, the items of containers that are filled by less than
+    ``least_fill`` are packed anew in the next longer tier, and stay there if that takes less room.
     """
     top = capacities[-1]
     tiers = [Stock() for _ in capacities]
@@ -91,21 +116,15 @@ def pack(items: list[tuple[int, object]], capacities: list[int]) -> list[tuple[i
             piece += 1
         tiers[bisect_left(capacities, length - first)].add(length - first, (item, piece, first))
     for k in range(len(capacities) - 1, -1, -1):
-        while got := tiers[k].take(capacities[k]):
-            room, held = capacities[k], []
-            while got:
-                length, (item, piece, first) = got
-                held.append((item, piece, first, length))
-                room -= length
-                got = None
-                best = None
-                for s in range(k, -1, -1):
-                    i = bisect_left(tiers[s].lengths, room + 1) - 1
-                    if i >= 0 and (best is None or tiers[s].lengths[i] > best[0]):
-                        best = (tiers[s].lengths[i], s)
-                if best:
-                    got = tiers[best[1]].take(room)
-            made.append((k, held))
+        made += _fill(tiers, k, capacities[k])
+    for k in range(len(capacities) - 1):
+        poor = [h for kk, h in made if kk == k and sum(x[3] for x in h) < least_fill * capacities[k]]
+        lifted = Stock()
+        for item, piece, first, length in (x for h in poor for x in h):
+            lifted.add(length, (item, piece, first))
+        again = _fill([lifted], 0, capacities[k + 1])
+        if len(again) * capacities[k + 1] < len(poor) * capacities[k]:
+            made = [m for m in made if m[0] != k or sum(x[3] for x in m[1]) >= least_fill * capacities[k]] + [(k + 1, h) for _, h in again]
     return made
 
 
@@ -124,7 +143,7 @@ def pack_documents(documents: DataFrame, sizes: DataFrame, doc: str = "doc_id",
     capacity, is placed.
 
     Hierarchical: a text belongs to the tier of the smallest capacity that takes it whole; tiers are packed from the longest down, each
-    filling its gaps from the shorter ones, so that every text is placed once. Tokens are counted once and written; groups of about
+    filling its gaps from the shorter ones, so that every text is placed once; what a tier holds badly is lifted into the next. Tokens are counted once and written; groups of about
     ``group_items`` texts, dealt out evenly whatever their ids, are packed side by side, a loss of at most one part-filled container of
     each kind per group. ``container`` is unique over kinds; containers of one kind and group are dealt into step groups of ``step_size``
     with balanced token numbers.

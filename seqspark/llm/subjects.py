@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.scratch import store
+from ..plans.scratch import sent, store
 from .mail import own_paragraphs
 
 _WORD = re.compile(r"[^\W\d_]{3,}")
@@ -21,7 +21,7 @@ _SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?:\s|\Z)")
 _BLANK = re.compile(r"\n\s*\n")
 #: Labelled rows used for fitting at most.
 MAX_EXAMPLES = 20_000
-#: Part of a paragraph's best score that another subject needs to count in it as well.
+#: Part of a paragraph's best score that another subject needs to count in it as well: a paragraph is on a subject, a lone sentence is not.
 SHARE = 0.9
 
 
@@ -141,14 +141,14 @@ def subjects(documents: DataFrame, examples: DataFrame, areas: DataFrame, doc: s
     chosen = examples.select(F.col(f"`{body}`").alias("b"), F.col(f"`{labels}`").alias("s")).dropna()
     rows = [(r["b"], list(r["s"])) for r in chosen.orderBy(F.xxhash64("b"), "b").limit(max_examples).collect()]
     model = Terms(rows, names)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = sent(documents.sparkSession, model)
     ints = T.ArrayType(T.IntegerType())
     held = T.StructType([T.StructField(doc, documents.schema[doc].dataType), T.StructField("words", ints), T.StructField("sizes", ints), T.StructField("terms", ints)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        m, schema = shared.value, to_arrow_schema(held)
+        m, schema = shared(), to_arrow_schema(held)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for at in range(0, len(ids), 1000):
@@ -159,13 +159,13 @@ def subjects(documents: DataFrame, examples: DataFrame, areas: DataFrame, doc: s
     counted = parsed.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count().collect()  # as many rows as terms, at most
     model.rarity({r["term"]: r["count"] for r in counted}, parsed.count())
     model.calibrate(rows, sentences, share)
-    ready = documents.sparkSession.sparkContext.broadcast(model)
+    ready = sent(documents.sparkSession, model)
     out = T.StructType([held[0], T.StructField(area, T.StringType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        m, schema = ready.value, to_arrow_schema(out)
+        m, schema = ready(), to_arrow_schema(out)
         for b in batches:
             n = np.diff(b.column(1).offsets.to_numpy())
             words, sizes, terms = (b.column(i).flatten().to_numpy() for i in (1, 2, 3))
