@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.scratch import fixed
+from ..plans.scratch import fixed, input_bytes
+
+#: Stored input for each range partition, on average.
+PARTITION_BYTES = 64_000_000
 
 State = tuple[object, int, int]  # entity, start of its current island, largest end so far
 
@@ -117,13 +120,13 @@ def prefix_combine(rows: list) -> dict[int, tuple[State | None, bool]]:
 def range_ordered(df: DataFrame, entity: str, start: str, end: str, partitions: int | None = None) -> DataFrame:
     """(entity, lo, hi) without nulls, one row for each entity and lo with its largest hi, range-partitioned and sorted by entity and lo.
 
-    The pre-aggregation keeps one start position that holds a large share of all rows from becoming one large partition; the range
+    There are as many partitions as the session's setting or, if that is more, as the stored size of the input asks for. The pre-aggregation keeps one start position that holds a large share of all rows from becoming one large partition; the range
     partitioning splits a large entity over many partitions.
     """
     s, e = F.col(f"`{start}`").cast("long"), F.col(f"`{end}`").cast("long")
     both = df.filter(F.col(f"`{entity}`").isNotNull() & s.isNotNull() & e.isNotNull())
     rows = both.select(F.col(f"`{entity}`").alias("entity"), F.least(s, e).alias("lo"), F.greatest(s, e).alias("hi"))
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // PARTITION_BYTES))
     return rows.groupBy("entity", "lo").agg(F.max("hi").alias("hi")).repartitionByRange(n, "entity", "lo").sortWithinPartitions("entity", "lo")
 
 

@@ -46,7 +46,23 @@ def store(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Remove tables of :func:`store` that nothing will read again; other tables are left alone."""
+    for df in stored:
+        path = getattr(df, "stored_at", None)
+        if path:
+            _remove(df.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -55,6 +71,12 @@ def fixed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Stored size of the tables that ``df`` reads, as the optimizer knows it; no job is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+
+
 def small_enough(df: DataFrame, limit_mb: float = 16.0, row_bytes: int = 48) -> bool:
     """Whether a (stored) table is certain to fit a broadcast: rows times ``row_bytes`` plus the length of its text columns."""
     text = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
@@ -81,7 +103,6 @@ def clean() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001 - the session may have ended; a folder on a file system is still within reach
             shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)

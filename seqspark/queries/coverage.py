@@ -13,7 +13,7 @@ from .hits import gene_lengths, go, reads
 
 def _spans(spark, d):
     """Half-open spans of hits on genes."""
-    h = reads(spark, d).filter("sseqid is not null and s_start is not null and s_end is not null")
+    h = reads(spark, d, "sseqid", "s_start", "s_end").filter("sseqid is not null and s_start is not null and s_end is not null")
     return h.select("hit_id", F.col("sseqid").alias("contig"), (F.least("s_start", "s_end") - 1).cast("long").alias("start"), F.greatest("s_start", "s_end").cast("long").alias("end"))
 
 
@@ -60,7 +60,7 @@ def catsbj_offsets(spark, d):
 
 
 def catsbj_hits(spark, d):
-    return C.concatenated_hits(reads(spark, d).filter("s_start is not null and s_end is not null"), _offsets(spark, d), 90, 60)
+    return C.concatenated_hits(reads(spark, d, "qseqid", "sseqid", "pident", "length", "s_start", "s_end", "bitscore", "qry_len").filter("s_start is not null and s_end is not null"), _offsets(spark, d), 90, 60)
 
 
 def cov_window(spark, d):
@@ -69,7 +69,7 @@ def cov_window(spark, d):
 
 
 def gff_gaps(spark, d):
-    f = reads(spark, d).filter("sseqid is not null and s_start is not null and s_end is not null")
+    f = reads(spark, d, "sseqid", "s_start", "s_end").filter("sseqid is not null and s_start is not null and s_end is not null")
     return C.feature_gaps(f.select(F.col("sseqid").alias("seqid"), F.least("s_start", "s_end").alias("start"), F.greatest("s_start", "s_end").alias("end")).distinct())
 
 
@@ -143,16 +143,16 @@ def recplot_table(spark, d):
 
 
 def gff_breaks(spark, d):
-    f = reads(spark, d).filter("sseqid is not null and s_start is not null and s_end is not null").groupBy("hit_id").agg(F.min("sseqid").alias("seqid"), F.min(F.least("s_start", "s_end")).alias("start"), F.max(F.greatest("s_start", "s_end")).alias("end"))
+    f = reads(spark, d, "sseqid", "s_start", "s_end").filter("sseqid is not null and s_start is not null and s_end is not null").groupBy("hit_id").agg(F.min("sseqid").alias("seqid"), F.min(F.least("s_start", "s_end")).alias("start"), F.max(F.greatest("s_start", "s_end")).alias("end"))
     return C.feature_breaks(f.select(F.col("hit_id").alias("rid"), "seqid", "start", "end", F.concat(F.lit("f"), F.col("hit_id").cast("string")).alias("name")), _offsets(spark, d))
 
 
 def anir(spark, d):
-    return C.average_identity(reads(spark, d), 95)
+    return C.average_identity(reads(spark, d, "pident"), 95)
 
 
 def anir_histogram(spark, d):
-    return C.identity_histogram(reads(spark, d))
+    return C.identity_histogram(reads(spark, d, "pident"))
 
 
 QUERIES = {f.__name__: f for f in (cov_histogram, cov_tad, cov_tad_total, cov_seqdepth, cov_average, cov_zip, catsbj_offsets, catsbj_hits, cov_window, gff_gaps, overlap_counts, recplot_counts, recplot_depth, recplot_cutoff, recplot_anir, recplot_compare, recplot_coordinates, recplot_windows, recplot_windows_core, recplot_equal, recplot_sequences, recplot_table, gff_breaks, anir, anir_histogram)}

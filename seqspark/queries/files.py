@@ -19,6 +19,7 @@ from ..plans.scratch import new_path
 from ..sources import catalog
 from ..sources import readers as R
 from ..sources import writers as W
+from ..streaming.hits import stream_sum_per_hit, stream_windows
 from . import table
 from .coverage import _BASE, _HITS, _spans, catsbj_hits, catsbj_offsets
 from .groups import _OG, _TIPS, _newick, _og, og_matrix
@@ -206,7 +207,7 @@ def file_sam(spark, d):
 
 def anir_threshold(spark, d):
     """The threshold found in the identities: the fixed one, as they have one peak."""
-    t = Q.identity_threshold(reads(spark, d), cutoff=0.95)
+    t = Q.identity_threshold(reads(spark, d, "pident"), cutoff=0.95)
     return spark.createDataFrame([(float(t),)], "threshold double")
 
 
@@ -426,6 +427,30 @@ def files_to_fetch(spark, d):
     return M.unverified(reported, present).select("name")
 
 
+def _streamed(spark, name, frame, mode):
+    """What a stream over all files there are leaves in a table in memory."""
+    from uuid import uuid4
+
+    table_name = f"{name}_{uuid4().hex[:8]}"
+    q = frame.writeStream.outputMode(mode).format("memory").queryName(table_name).option("checkpointLocation", new_path(spark, name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(table_name)
+
+
+def _stream(spark, d, name):
+    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def stream_windows_total(spark, d):
+    return _streamed(spark, "windows", stream_windows(_stream(spark, d, "events"), "1 day", delay="3650 days"), "complete")
+
+
+def stream_sums(spark, d):
+    """Hits per gene, each hit of the stream counted once."""
+    h = _stream(spark, d, "a_mg_cds_go").withColumn("loaded_at", F.coalesce("loaded_at", F.lit("2000-01-01").cast("timestamp")))
+    return _streamed(spark, "sums", stream_sum_per_hit(h, "qseqid", delay="36500 days"), "complete")
+
+
 def krona_rows(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     names = F.create_map(F.lit("phylum"), F.col("r_name"), F.lit("genus"), F.when(F.col("c_custkey") % 3 != 0, F.col("n_name")))
@@ -435,7 +460,7 @@ def krona_rows(spark, d):
 QUERIES = {f.__name__: f for f in (file_fasta, file_fasta_gz, file_fasta_splits, file_fastq, file_fastq_order, file_interpose, file_parts, seq_to_fasta, fastq_tag, fastq_filter, file_alignments, seq_partition_lines, seq_slide_errors)}
 QUERIES |= {f.__name__: f for f in (file_hits, file_hits_few, file_rbm, file_bedgraph, file_gff, file_rec_lim, file_identities, file_vcf, file_sam, anir_threshold, file_table, file_otu, file_groups, file_clusters, file_growth, file_key)}
 QUERIES |= {f.__name__: f for f in (file_taxonomy, taxonomy_export, file_silva, file_lineages, file_cog, file_tblout, file_model_search, file_pairwise, file_triplets, file_placements, itol_file, file_newick, file_genbank)}
-QUERIES |= {f.__name__: f for f in (stored_results, sql_views, range_pairs, hits_edge_weights, og_extract_modes, essential_report, essential_extract, genome_list, files_to_fetch, krona_rows)}
+QUERIES |= {f.__name__: f for f in (stored_results, sql_views, range_pairs, hits_edge_weights, og_extract_modes, essential_report, essential_extract, genome_list, files_to_fetch, krona_rows, stream_sums, stream_windows_total)}
 
 _AA = "'ARNDCQEGHILKMFPSTWYV'"
 _PATHS = "p AS (SELECT CASE WHEN r_regionkey = 0 THEN 'PATCHED' ELSE r_name END AS up, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey), n AS (SELECT *, row_number() OVER (ORDER BY \"full\") + 1 AS id FROM (SELECT DISTINCT up AS \"full\", NULL AS up, up AS name, 'no rank' AS rank FROM p UNION SELECT up || ';' || name, up, name, 'domain' FROM p)), t AS (SELECT a.id, coalesce(b.id, 1) AS parent, a.name, a.rank FROM n AS a LEFT JOIN n AS b ON b.\"full\" = a.up UNION ALL SELECT 1, 1, 'root', 'no rank')"
@@ -497,5 +522,7 @@ UNION ALL SELECT unnest(['DATASET_PIECHART', 'SEPARATOR TAB', 'DATASET_LABEL' ||
     "essential_extract": f"WITH {_MODEL_HITS} SELECT genome, 'm' || m AS model, 'x|m' || m AS id, 'M' || split_part(min(rid), '-', 2) AS seq FROM h GROUP BY genome, m",
     "genome_list": "SELECT CAST(o_orderkey AS varchar) AS accession, 'f/' || o_orderkey AS folder FROM orders WHERE o_orderstatus = 'F'",
     "files_to_fetch": "SELECT CAST(c_custkey AS varchar) AS name FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0",
+    "stream_sums": f"WITH {_GO} SELECT qseqid, count(*) AS total FROM go WHERE qseqid IS NOT NULL GROUP BY 1",
+    "stream_windows_total": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
     "krona_rows": "SELECT sum(c_custkey % 13 + 1) AS reads, r_name AS phylum, CASE WHEN c_custkey % 3 <> 0 THEN n_name ELSE '' END AS genus FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 2, 3",
 }

@@ -14,18 +14,23 @@ def go(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "a_mg_cds_go").drop("loaded_at").dropDuplicates(["hit_id"])
 
 
-def reads(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of reads on genes, each distinct row once: a few rows of one hit_id differ in values, so the whole row counts."""
-    return table(spark, d, "a_mg_reads_cds").drop("loaded_at").distinct()
+def reads(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Hits of reads on genes, each distinct row once: a few rows of one hit_id differ in values, so the whole row counts. With ``columns``
+    only these, the hit_id and a hash of the whole row cross the network."""
+    t = table(spark, d, "a_mg_reads_cds").drop("loaded_at")
+    if not columns:
+        return t.distinct()
+    return t.select(*dict.fromkeys(("hit_id", *columns)), F.xxhash64(*t.columns).alias("__row")).distinct().drop("__row")
 
 
 def gene_lengths(spark: SparkSession, d: str) -> DataFrame:
-    h = reads(spark, d).filter("sseqid is not null").groupBy("sseqid").agg(F.max(F.greatest("s_start", "s_end")).alias("length"))
+    """The largest position of each gene; repeated rows make no difference to it."""
+    h = table(spark, d, "a_mg_reads_cds").filter("sseqid is not null").groupBy("sseqid").agg(F.max(F.greatest("s_start", "s_end")).alias("length"))
     return h.filter("length is not null").withColumnRenamed("sseqid", "id")
 
 
 def reads_per_gene(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).filter("sseqid is not null").groupBy(F.col("sseqid").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return reads(spark, d, "sseqid").filter("sseqid is not null").groupBy(F.col("sseqid").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def hits_best(spark, d):
@@ -45,11 +50,11 @@ def hits_top_n_file_order(spark, d):
 
 
 def list_filter(spark, d):
-    return H.filter_by_list(reads(spark, d), go(spark, d), "sseqid", "qseqid").select("hit_id", "sseqid")
+    return H.filter_by_list(reads(spark, d, "sseqid"), go(spark, d), "sseqid", "qseqid").select("hit_id", "sseqid")
 
 
 def list_filter_inverse(spark, d):
-    return H.filter_by_list(reads(spark, d), go(spark, d), "sseqid", "qseqid", invert=True).select("hit_id", "sseqid")
+    return H.filter_by_list(reads(spark, d, "sseqid"), go(spark, d), "sseqid", "qseqid", invert=True).select("hit_id", "sseqid")
 
 
 def hits_subsample_by_ids(spark, d):
@@ -71,7 +76,7 @@ def hits_cog(spark, d):
 
 
 def hits_sum_per_hit(spark, d):
-    return H.sum_per_hit(reads(spark, d), min_score=60, min_identity=80)
+    return H.sum_per_hit(reads(spark, d, "qseqid", "sseqid", "bitscore", "pident"), min_score=60, min_identity=80)
 
 
 def hits_weighted_sum(spark, d):
