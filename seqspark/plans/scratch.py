@@ -72,9 +72,10 @@ def fixed(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Stored size of the tables that ``df`` reads, as the optimizer knows it; no job is run."""
+    """Stored size of the tables that ``df`` reads, as the optimizer knows it; no job is run. Tables of unknown size count as 0."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 2**60)
 
 
 def small_enough(df: DataFrame, limit_mb: float = 16.0, row_bytes: int = 48) -> bool:
