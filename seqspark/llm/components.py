@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import store
+from ..plans.scratch import discard, store
 
 #: Rate of the exponential shifts.
 BETA = 0.3
 #: Shifts are drawn from the exponential distribution below this bound, so that no cluster reaches further than REACH - 1 hops.
 REACH = 5
 #: Edges between clusters that one task finishes, by the same method, once so few are left (16 bytes each).
-TAIL_EDGES = 20_000
+TAIL_EDGES = 50_000
 #: A vertex of more edges than this, and than an even share of a partition, sends its time by broadcast.
 HOT_EDGES = 50_000
 
@@ -59,8 +59,10 @@ def _grow(edges: DataFrame, level: int, beta: float, reach: int, hot_edges: int)
             sent = x if sent is None else sent.unionByName(x)
         label = sent.groupBy("v").agg(F.min_by("center", "t").alias("center"), F.min("t").alias("t"), F.max("had").alias("had"))
         if hot or hop == reach - 2:
-            label = store(label, f"clusters{level}")
-    return label.select("v", "center")
+            before, label = label, store(label, f"clusters{level}")
+            discard(before)
+    discard(steps)
+    return label
 
 
 def _contracted(edges: DataFrame, cluster: DataFrame) -> DataFrame:
@@ -120,19 +122,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", beta: float = BETA,
     """
     pairs = edges.select(F.col(f"`{a}`").cast("long").alias("a"), F.col(f"`{b}`").cast("long").alias("b")).dropna()
     stored = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    rooted = store(_roots(stored, beta, reach, tail_edges, hot_edges), "roots")
+    root, used = _roots(stored, beta, reach, tail_edges, hot_edges)
+    rooted = store(root, "roots")
+    discard(*used)
     least = rooted.groupBy("root").agg(F.min("v").alias("component"))
     return rooted.join(least, "root").select("v", "component")
 
 
-def _roots(stored: DataFrame, beta: float, reach: int, tail_edges: int, hot_edges: int) -> DataFrame:
-    """(v, root): the same root for all vertices of a group, some vertex of it, from stored edges (a <= b)."""
+def _roots(stored: DataFrame, beta: float, reach: int, tail_edges: int, hot_edges: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(v, root): the same root for all vertices of a group, some vertex of it, from stored edges (a <= b); and the stored tables it is made
+    from, which can go once it is stored itself."""
     levels: list[DataFrame] = []
     rest = stored.filter("a <> b")
     left = rest.count()
     while left > tail_edges:
         levels.append(_grow(rest, len(levels), beta, reach, hot_edges))
-        rest = store(_contracted(rest, levels[-1]), "edges")
+        before, rest = rest, store(_contracted(rest, levels[-1]), "edges")
+        discard(before)
         left = rest.count()
     if left:
         levels.append(_tail(rest, beta, reach))
@@ -145,8 +151,8 @@ def _roots(stored: DataFrame, beta: float, reach: int, tail_edges: int, hot_edge
             whole = cluster.join(above, "center", "left").select("v", F.coalesce("root", "center").alias("root"))
     vertices = stored.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     if whole is None:
-        return vertices.select("v", F.col("v").alias("root"))
-    return vertices.join(whole, "v", "left").select("v", F.coalesce("root", "v").alias("root"))
+        return vertices.select("v", F.col("v").alias("root")), [stored]
+    return vertices.join(whole, "v", "left").select("v", F.coalesce("root", "v").alias("root")), [stored, rest, *levels]
 
 
 def _number(record: Column, clash: list[int], salt: int) -> Column:
@@ -182,8 +188,9 @@ def consolidate(matches: DataFrame, left: tuple[str, ...] = ("seq1", "id1"), rig
         raise RuntimeError("records could not be numbered")
     pairs = good.select(_number(side("l"), clash, salt).alias("a"), _number(side("r"), clash, salt).alias("b"))
     links = store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    root = _roots(links, beta, reach, tail_edges, hot_edges)
+    root, used = _roots(links, beta, reach, tail_edges, hot_edges)
     rooted = store(records.select("v", "k").join(root, "v").select("root", "k"), "rooted")
+    discard(records, *used)
     least = rooted.groupBy("root").agg(F.min("k").alias("g"))
     out = rooted.join(least, "root")
     return out.select(*[F.col(f"k.k{i}").alias(n) for i, n in enumerate(names)], *[F.col(f"g.k{i}").alias(f"{prefix}{n}") for i, n in enumerate(names)])
