@@ -176,9 +176,8 @@ def consolidate(matches: DataFrame, left: tuple[str, ...] = ("seq1", "id1"), rig
     clash: list[int] = []
     for salt in range(1, 100):
         both = good.select(F.explode(F.array(side("l"), side("r"))).alias("k"))
-        named = both.select(_number(F.col("k"), clash, salt).alias("v"), "k").groupBy("v").agg(F.min("k").alias("k"), F.max("k").alias("other"))
-        records = store(named, "records")
-        more = [r["v"] for r in records.filter("k <> other").select("v").limit(10_001).collect()]
+        records = store(both.select(_number(F.col("k"), clash, salt).alias("v"), "k").distinct(), "records")
+        more = [r["v"] for r in records.groupBy("v").count().filter("count > 1").select("v").limit(10_001).collect()]
         if not more:
             break
         if len(more) > 10_000:
