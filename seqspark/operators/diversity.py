@@ -170,7 +170,8 @@ def kaks(genes: DataFrame, snps: DataFrame, fixed: float | None = None, compat:
         f = 1 - fixed if compat else fixed
         sites = sites.withColumn("s_sites", F.col("b") * f).withColumn("n_sites", F.col("b") * (1 - f))
     hit = snps.select("gene", F.floor(F.col("pos") / 3).cast("int").alias("k"), (F.col("pos") % 3).cast("int").alias("i"), F.upper("alt").alias("b"))
-    sub = hit.join(codons, ["gene", "k"]).join(change, ["codon", "i", "b"]).groupBy("gene").agg(F.sum("same").alias("s"), F.sum(1 - F.col("same")).alias("n"))
+    # Spark sizes the codons as if each gene had one, so it may broadcast all of them unless told to merge
+    sub = hit.join(codons.hint("merge"), ["gene", "k"]).join(change, ["codon", "i", "b"]).groupBy("gene").agg(F.sum("same").alias("s"), F.sum(1 - F.col("same")).alias("n"))
     sites = sites.drop("b")
     out = sites.join(sub, "gene", "left").fillna(0, ["s", "n"])
     out = out.withColumn("ka", (F.col("n") + 1) / (F.col("n_sites") + 2)).withColumn("ks", (F.col("s") + 1) / (F.col("s_sites") + 2))

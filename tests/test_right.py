@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqspark.operators import coverage as C
 from seqspark.operators import diversity as D
@@ -158,3 +160,17 @@ def test_ids_cut_and_columns_of_several_files(spark):
     a = spark.createDataFrame([("f", "g1_x", "AC-T"), ("f", "g2_y", "AG-A"), ("h", "g1_z", "QQ"), ("h", "g3_w", None)], "file string, id string, seq string")
     got = {r["id"]: r["seq"] for r in S.concatenate_alignments(a, True, ignore_after="_").collect()}
     assert got == {"g1": "CT", "g2": "GA", "g3": "--"}
+
+
+def joins(df):
+    return re.findall(r"(\w+Join) \[(.+?)\], \[", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_codons_of_all_genes_are_merged_not_broadcast(spark):
+    # Spark takes these 3,000 codons for less than its limit of 10 MB, and would do so with millions
+    genes = spark.range(1000).select(F.concat(F.lit("g"), "id").alias("gene"), F.lit("ATGCTTTAA").alias("seq"))
+    snps = spark.range(1000).filter("id % 2 = 0").select(F.concat(F.lit("g"), "id").alias("gene"), (F.col("id") % 3 + 3).alias("pos"), F.lit("c").alias("alt"))
+    df = D.kaks(genes, snps)
+    assert [kind for kind, keys in joins(df) if re.fullmatch(r"gene#\d+, k#\d+", keys)] == ["SortMergeJoin"]
+    got = df.collect()
+    assert len(got) == 1000 and {r["gene"]: (r["n"], r["s"]) for r in got} == {f"g{i}": [(0, 0), (1, 0), (0, 1)][i % 3 * (i % 2 == 0)] for i in range(1000)}
