@@ -204,7 +204,8 @@ def seq_simulate_errors(spark, d):
     """At an error rate of 1 no base stays, and each of the three others takes its place."""
     a = S.simulate_pairs(_dna(spark, d), 2, 20, 50, 5, error=0).withColumnRenamed("seq", "x")
     b = S.simulate_pairs(_dna(spark, d), 2, 20, 50, 5, error=1).withColumnRenamed("seq", "y")
-    j = a.join(b, ["id", "mate"]).select(F.explode(F.arrays_zip(F.split("x", "").alias("x"), F.split("y", "").alias("y"))).alias("p"))
+    # Spark sizes the mates as if each genome had one, so it may broadcast all of them unless told to merge
+    j = a.join(b.hint("merge"), ["id", "mate"]).select(F.explode(F.arrays_zip(F.split("x", "").alias("x"), F.split("y", "").alias("y"))).alias("p"))
     return j.filter("p.x <> 'N' and p.x <> ''").select("p.x", "p.y").distinct()
 
 

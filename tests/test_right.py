@@ -17,6 +17,7 @@ from seqspark.operators import sequences as S
 from seqspark.operators import statistics as Q
 from seqspark.operators import trees as T
 from seqspark.operators.rejects import WHOLE, Field, loaded, parse_rows
+from seqspark.queries.sequences import QUERIES as SEQUENCES
 from seqspark.sources import readers as R
 
 
@@ -174,3 +175,10 @@ def test_codons_of_all_genes_are_merged_not_broadcast(spark):
     assert [kind for kind, keys in joins(df) if re.fullmatch(r"gene#\d+, k#\d+", keys)] == ["SortMergeJoin"]
     got = df.collect()
     assert len(got) == 1000 and {r["gene"]: (r["n"], r["s"]) for r in got} == {f"g{i}": [(0, 0), (1, 0), (0, 1)][i % 3 * (i % 2 == 0)] for i in range(1000)}
+
+
+def test_mates_of_all_genomes_are_merged_not_broadcast(spark):
+    # Spark takes these 1,600 mates of 200 genomes for less than its limit of 10 MB, and would do so with millions
+    df = SEQUENCES["seq_simulate_errors"](spark, "/root/testdata/sf0.001")
+    assert [kind for kind, _ in joins(df)] == ["SortMergeJoin"]
+    assert sorted(map(tuple, df.collect())) == sorted(itertools.permutations("ACGT", 2))
